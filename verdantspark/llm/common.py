@@ -12,15 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of an Arrow batch that carries texts; Spark's own default of 10,000 may be a gigabyte of long ones.
+TEXT_ROWS = 500
 #: Bytes of text that one numpy pass works on; temporaries are about 30 times as large.
 SLICE_BYTES = 2 << 20
 
 
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """The columns an operator reads, typed; other columns, whatever their names, stay out."""
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by TEXT_ROWS, so that neither the JVM nor Python holds very many texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
     sc = spark.sparkContext
@@ -85,6 +95,7 @@ def append_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]],
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *fields])
     names = [f.name for f in fields]
     added = to_arrow_schema(T.StructType(fields))
