@@ -88,7 +88,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def append_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField], setup: Callable[[], Callable] | None = None) -> DataFrame:
+def append_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]] | None, fields: list[T.StructField], setup: Callable[[], Callable] | None = None, limit: int = SLICE_BYTES) -> DataFrame:
     """df with more columns, computed batch by batch in Arrow; rows keep their partition, so nothing is shuffled.
 
     fn gets a record batch with all columns of df; setup, if given, is called once a task and makes fn.
@@ -103,7 +103,7 @@ def append_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = setup() if setup else fn
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=limit):
                 new = work(part)
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, type=t) if not isinstance(c, pa.Array) else c for c, t in zip(new, added.types, strict=True)]], names=[*part.schema.names, *names])
 
