@@ -11,6 +11,7 @@ from .decontam import contamination
 from .packing import pack_documents
 from .secrets import secret_spans
 from .simhash import simhash_components
+from .substring import repeated_windows
 from .token_files import token_file_digest
 
 
@@ -38,6 +39,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_windows(table(spark, sf_dir, "documents"), k=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), k=4, distance=4)
 
