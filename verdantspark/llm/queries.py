@@ -15,6 +15,8 @@ from .simhash import simhash_components
 from .substring import repeated_windows
 from .token_files import token_file_digest
 
+from .toxicity import toxicity
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -30,6 +32,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     joined = F.sha2(F.concat_ws(",", "items"), 256)
