@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import search
 from .decontam import contamination
 from .packing import pack_documents
+from .quality import quality_scores
 from .secrets import secret_spans
 from .simhash import simhash_components
 from .substring import repeated_windows
@@ -28,6 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
