@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import linededup
 from .ann import search
 from .decontam import contamination
 from .packing import pack_documents
@@ -41,6 +42,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.without_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (F.col("kept_lines") + F.col("gone_lines")).alias("n_lines"), F.col("gone_lines").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     joined = F.sha2(F.concat_ws(",", "items"), 256)
@@ -74,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": linededup.ORACLE_SQL}
