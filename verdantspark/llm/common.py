@@ -41,11 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it back: later jobs neither recompute it nor depend on one executor."""
+def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write df into the shared folder and read it back: later jobs neither recompute it nor depend on one executor.
+
+    With `narrow`, for rows much smaller than those that the tasks read, partitions are first merged to a good file size.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if narrow else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -221,7 +221,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
         for b in batches:
             yield [Piece(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"]) for r in b.select(["doc_id", "start", "ids", "doc_tokens"]).to_pylist()]
 
-    first = cut(documents(docs).mapInArrow(flow(0, texts), PIECES).withColumn("task", F.spark_partition_id()), "pieces")
+    first = cut(documents(docs).mapInArrow(flow(0, texts), PIECES).withColumn("task", F.spark_partition_id()), "pieces", narrow=True)
     full = first.filter("sequence_id is not null").drop("task")
     groups = max(1, (first.select(F.max("task")).first()[0] or 0) // MERGED_TASKS)
     rest = first.filter("sequence_id is null").withColumn("task", F.col("task") % groups).repartition(groups, "task").sortWithinPartitions("doc_id", "start", "ids").drop("task")

@@ -134,7 +134,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", pat
                 e = sent.value.logit(features(part["text"])) if sent.value is not None else np.full(part.num_rows, base)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["host"], part["path"], pa.array(e)], names=["doc_id", "host", "path", "evidence"])
 
-    judged = cut(rows.mapInArrow(judge, "doc_id long, host string, path string, evidence double"), "quality").withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
+    judged = cut(rows.mapInArrow(judge, "doc_id long, host string, path string, evidence double"), "quality", narrow=True).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
     paths = judged.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n"))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
     total = hosts.agg(F.sum("hs"), F.sum("hn")).first()

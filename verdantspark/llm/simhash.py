@@ -196,7 +196,7 @@ def simhash_components(docs: DataFrame, k: int = 5, distance: int = 4, seed: int
     compared. Null or wordless texts have fingerprint zero and link like any other; a null doc_id takes part, but is never a
     component_id unless a component has no other; an empty table gives no rows.
     """
-    prints = cut(fingerprints(docs, k, seed), "fingerprints")
+    prints = cut(fingerprints(docs, k, seed), "fingerprints", narrow=True)
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     comps = connected_components(fingerprint_links(classes.select("fp"), distance))
     linked = cut(classes.join(comps.withColumnRenamed("node", "fp"), "fp"), "linked")

@@ -135,7 +135,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     fs, p = filesystem(folder)
     fs.create_dir(p, recursive=True)
     ordered = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInArrow(run, MANIFEST), "token-manifest")
+    return cut(ordered.mapInArrow(run, MANIFEST), "token-manifest", narrow=True)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
