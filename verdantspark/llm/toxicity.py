@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +32,16 @@ def word_terms(word: str) -> tuple[str, ...]:
     return (word, f"{word[:4]}*", f"{word[:5]}*") if len(word) > 5 else (word, f"{word[:4]}*") if len(word) > 4 else (word,)
 
 
+class TermsOf(dict):
+    """The terms of each word, kept for the words seen first."""
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        got = word_terms(word)
+        if len(self) < 200_000:
+            self[word] = got
+        return got
+
+
 class Vocabulary(dict):
     """Numbers of the known terms of a word; most words have none."""
 
@@ -48,7 +57,9 @@ class Vocabulary(dict):
     def counts(self, text: str | None) -> Counter:
         """How often each known term occurs in a whole text."""
         out: Counter = Counter()
-        for w, n in Counter(WORD.findall((text or "").lower())).items():
+        found = WORD.findall((text or "").lower())
+        for w in filter(self.__getitem__, set(found)):
+            n = found.count(w)
             for i in self[w]:
                 out[i] += n
         return out
@@ -89,26 +100,23 @@ class Index:
         bound = w @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best: list[tuple[float, int]] = []
-        step = 8
-        for a in range(0, len(order), step):
-            if len(best) >= k and best[0][0] > bound[order[a]] + 1e-12:
-                break
-            for b in order[a : a + step].tolist():
-                score = np.zeros(BLOCK)
-                for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                    i, j = self.cut[t * self.blocks + b], self.cut[t * self.blocks + b + 1]
-                    if j > i:
-                        score[self.example[i:j] - b * BLOCK] += x * self.weight[i:j]
-                for e in np.flatnonzero(score).tolist():
-                    if b * BLOCK + e != but:
-                        item = (float(score[e]), -(b * BLOCK + e))
-                        if len(best) < k:
-                            heapq.heappush(best, item)
-                        elif item > best[0]:
-                            heapq.heapreplace(best, item)
-        best.sort(reverse=True)
-        return np.array([-e for _, e in best], np.int64), np.array([s for s, _ in best])
+        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+        a, step = 0, 8
+        while a < len(order) and (len(ids) < k or scores[k - 1] <= bound[order[a]] + 1e-12):
+            blocks = order[a : a + step]
+            key = (terms[:, None] * self.blocks + blocks).ravel()
+            begin = self.cut[key]
+            size = self.cut[key + 1] - begin
+            at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+            place = np.repeat(np.tile(np.arange(len(blocks)), len(terms)), size) * BLOCK + self.example[at] % BLOCK
+            score = np.bincount(place, np.repeat(np.repeat(w, len(blocks)), size) * self.weight[at], len(blocks) * BLOCK)
+            some = np.flatnonzero(score)
+            new = blocks[some // BLOCK] * BLOCK + some % BLOCK
+            ids, scores = np.concatenate([ids, new[new != but]]), np.concatenate([scores, score[some][new != but]])
+            first = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[first], scores[first]
+            a, step = a + step, 2 * step
+        return ids, scores
 
 
 class Votes:
@@ -184,20 +192,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[str, list[int]] = {}
+        n, known = (Counter(), Counter()), TermsOf()
 
         def out():
-            return pa.RecordBatch.from_pydict({"term": list(n), "clean": pa.array([v[0] for v in n.values()], pa.int64()), "toxic": pa.array([v[1] for v in n.values()], pa.int64())})
+            terms = list(n[0] | n[1])
+            return pa.RecordBatch.from_pydict({"term": terms, "clean": pa.array([n[0][t] for t in terms], pa.int64()), "toxic": pa.array([n[1][t] for t in terms], pa.int64())})
 
         for batch in batches:
             for text, c in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-                n.setdefault("", [0, 0])[c] += 1
-                for t in {t for w in set(WORD.findall((text or "").lower())) for t in word_terms(w)}:
-                    n.setdefault(t, [0, 0])[c] += 1
-            if len(n) > 200_000:
+                n[c].update(set().union(*map(known.__getitem__, set(WORD.findall((text or "").lower())))))
+            if len(n[0]) + len(n[1]) > 300_000:
                 yield out()
-                n.clear()
-        if n:
+                n[0].clear()
+                n[1].clear()
+        if n[0] or n[1]:
             yield out()
 
     counted = labelled.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c0"), F.sum("toxic").alias("c1"))
@@ -208,7 +216,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     if n0 and n1:
         chi = (n0 + n1) * F.pow(c1 * (n0 - c0) - c0 * (n1 - c1), 2) / (F.lit(float(n0)) * n1 * (c0 + c1) * (n0 + n1 - c0 - c1))
         ratio = ((c1 + 0.5) / (n1 + 1)) / ((c0 + 0.5) / (n0 + 1))
-        near = counted.filter((F.col("term") != "") & (c0 + c1 >= 3) & (c0 + c1 < n0 + n1)).withColumn("chi", chi).filter((F.col("chi") >= CHI_SQUARE) & ((ratio >= RATIO) | (ratio <= 1 / RATIO)))
+        near = counted.filter((c0 + c1 >= 3) & (c0 + c1 < n0 + n1)).withColumn("chi", chi).filter((F.col("chi") >= CHI_SQUARE) & ((ratio >= RATIO) | (ratio <= 1 / RATIO)))
         chosen = sorted(r.term for r in near.orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +224,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
         for batch in batches:
             for text in batch["text"].to_pylist():
                 total += 1
-                for i in {i for w in set(WORD.findall((text or "").lower())) for i in vocabulary[w]}:
-                    n[i] += 1
+                n[list(set().union(*map(vocabulary.__getitem__, set(WORD.findall((text or "").lower())))))] += 1
         n[-1] = total
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"term": pa.array(some), "n": pa.array(n[some])})
