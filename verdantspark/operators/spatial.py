@@ -34,9 +34,31 @@ def nearest_image_join(points: DataFrame, images: DataFrame, max_distance: float
     return points.join(best, "id", "left").select(*points.columns, F.sqrt("_b._d2").alias("distance"), F.coalesce(F.col("_b.image_id").cast("string"), F.lit("")).alias("image_id"), F.coalesce(F.col("_b.is_pano"), F.lit(False)).alias("is_panoramic"))
 
 
+#: Nodes that are sent to all tasks at most; with more, points and nodes meet by grid cell.
+SENT_NODES = 20_000
+
+
 def nearest_node(points: DataFrame, nodes: DataFrame, start: float, rounds: int = 24) -> DataFrame:
-    """id and node of each point's nearest node, however far: rings of cells of twice the side in each round, until none is
-    left. A node found within the side is surely nearest; ties go to the smallest node."""
+    """id, node and distance of each point's nearest node, however far; ties go to the smallest node.
+
+    Up to SENT_NODES nodes, a counted bound, are compared where the points are. More are met ring by ring: cells of twice the
+    side in each round, until no point is left; a node found within the side is surely nearest.
+    """
+    few = nodes.select(F.col("node").cast("long"), F.col("x").cast("double"), F.col("y").cast("double")).orderBy("node").limit(SENT_NODES + 1).toPandas()
+    if len(few) <= SENT_NODES:
+        ids, at = few["node"].to_numpy(), few[["x", "y"]].to_numpy()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, 2_000_000 // max(1, len(ids)))
+            for b in batches if len(ids) else ():
+                x, y = b["x"].to_numpy(zero_copy_only=False), b["y"].to_numpy(zero_copy_only=False)
+                for a in range(0, len(x), step):
+                    d2 = (x[a : a + step, None] - at[:, 0]) ** 2 + (y[a : a + step, None] - at[:, 1]) ** 2
+                    k = d2.argmin(1)
+                    yield pa.RecordBatch.from_arrays([b["id"].slice(a, step), pa.array(ids[k]), pa.array(np.sqrt(d2[np.arange(len(k)), k]))], names=["id", "node", "distance"])
+
+        rows = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).na.drop(subset=["x", "y"])
+        return rows.mapInArrow(run, f"id {points.schema['id'].dataType.simpleString()}, node long, distance double")
     right = nodes.select("node", F.col("x").alias("rx"), F.col("y").alias("ry"))
     left, done, side = points.select("id", "x", "y"), None, start
     for _ in range(rounds):
