@@ -207,6 +207,7 @@ def simhash_components(docs: DataFrame, k: int = 5, distance: int = 4, seed: int
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, distance: int = 4) -> DataFrame:
-    """The columns and rows of docs without those whose component has a smaller doc_id; doc_id must be unique."""
+    """The columns and rows of docs without those whose component has a smaller doc_id. Rows that repeat a doc_id
+    stay or go together; rows without one stay."""
     gone = simhash_components(docs, k, distance).filter("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

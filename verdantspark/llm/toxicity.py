@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import cut, documents, slices
 
 #: Labelled rows of each class that are learnt from, at most; those with the smallest hashes of their ids.
 LABELLED = 30_000
@@ -243,7 +243,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
     model = None
     if chosen:
-        vectored = labelled.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, counts array<double>").select("*", (F.size("terms") > 0).alias("some"), F.xxhash64("doc_id").alias("at"))
+        vectored = cut(labelled.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, counts array<double>").withColumn("some", F.size("terms") > 0), "toxic-examples", narrow=True)
         seen = vectored.select("doc_id", "toxic", "some", "terms", "counts").filter("some").orderBy(F.xxhash64("doc_id"), "doc_id")
         rows = [r for c in (0, 1) for r in seen.filter(F.col("toxic") == c).limit(EXAMPLES).collect()]
         rows.sort(key=lambda r: (r.terms[0], len(r.terms), r.doc_id))  # alike examples share blocks
