@@ -27,6 +27,11 @@ def fingerprint(text, k=4):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(runs))
 
 
+def shingles(text, k=5):
+    w = space_words((text or "").translate(A_Z))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
 def components(rows, k=4, distance=4):
     """{doc_id: (hex fingerprint, component)}"""
     prints = {d: fingerprint(t, k) for d, t in rows}

@@ -207,6 +207,35 @@ def test_pigeonring_finds_all_links(spark):
             assert root(int(u.view(np.int64)[i])) == root(int(u.view(np.int64)[j]))
 
 
+def test_near_copies(spark, rows):
+    import random
+
+    rng = random.Random(6)
+    texts = [f"{' '.join(str(rng.randint(0, 9999)) for _ in range(300))}" for _ in range(30)]
+    near = []
+    for t in texts:
+        w = t.split()
+        for k in rng.sample(range(300), 4):  # about 20 of 296 shingles change
+            w[k] = "x"
+        near.append(" ".join(w))
+    far = [" ".join(t.split()[:150] + [str(rng.randint(0, 9999)) for _ in range(150)]) for t in texts]
+    df = spark.createDataFrame([*enumerate(texts + near + far), (None, texts[0])], "doc_id long, text string")
+    found = {(r.doc_id, r.component_id) for r in simhash.near_copies(df).collect()}
+    assert found <= {(30 + i, i) for i in range(30)} and len(found) >= 27  # a similarity of 0.87 is found in 98 % of cases or so
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.count() == 91 - len(found) and kept.filter("doc_id is null").count() == 1
+
+
+def test_near_copies_of_hot_keys(spark, monkeypatch):
+    """The search of long keys finds the groups that comparing all finds."""
+    base = [str(i) for i in range(200)]
+    texts = [" ".join([*base[:i], "y", *base[i + 1 :]]) for i in range(0, 200, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id for r in simhash.near_copies(df).collect()}
+    monkeypatch.setattr(simhash, "COMPARED", 3)
+    assert {r.doc_id for r in simhash.near_copies(df).collect()} == want and len(want) > 90
+
+
 def test_components(spark):
     from verdantspark.llm.components import connected_components
 

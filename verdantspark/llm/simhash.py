@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, slices, text_buffer
 from .components import connected_components
-from .kernels import LOWER, NOT_SPACE, U64, words
+from .kernels import LOWER, NOT_SPACE, U64, mix, words
 
 BITS = 64
 _LANES = U64(0x0101010101010101)
@@ -37,18 +37,21 @@ def bit_majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_fingerprints(texts: pa.Array, k: int, seed: int = 42) -> np.ndarray:
+def shingle_fingerprints(texts: pa.Array, k: int, seed: int = 42, parts: int = 1) -> np.ndarray:
     """The SimHash of each text: words are runs of other bytes than ASCII white space, A-Z lower-cased; XXH64 of each
-    run of k words joined by one space. Fewer words: the whole sequence; none (or null): zero."""
+    run of k words joined by one space. Fewer words: the whole sequence; none (or null): zero.
+
+    More parts are further columns of 64 bits, from hashes that are mixed anew.
+    """
     from xxhash import xxh64_intdigest
 
     buf, offsets = text_buffer(texts)
     starts, ends, row = words(buf, offsets, NOT_SPACE)
-    out = np.zeros(len(texts), U64)
+    out = np.zeros((parts, len(texts)), U64)
     counts = np.diff(row)
     some = np.flatnonzero(counts)
     if not len(some):
-        return out
+        return out.T if parts > 1 else out[0]
     lens = ends - starts
     at = np.concatenate([[0], np.cumsum(lens + 1)])
     flat = np.full(at[-1], 0x20, np.uint8)
@@ -60,8 +63,9 @@ def shingle_fingerprints(texts: pa.Array, k: int, seed: int = 42) -> np.ndarray:
     last = np.minimum(w + k, np.repeat(row[1:][some], n))
     data = memoryview(flat.tobytes())
     h = np.fromiter((xxh64_intdigest(data[a:b], seed) for a, b in zip(at[w].tolist(), (at[last] - 1).tolist(), strict=True)), U64, len(w))
-    out[some] = bit_majority(h, first)
-    return out
+    for part in range(parts):
+        out[part, some] = bit_majority(mix(h ^ U64(part * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if part else h, first)
+    return out.T if parts > 1 else out[0]
 
 
 def fingerprints(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
@@ -129,6 +133,27 @@ def chain_links(key: np.ndarray, turned: np.ndarray, budget: list[tuple[np.uint6
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def by_key(links):
+    """A function of batches sorted by (start, key) that calls `links` with whole keys only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:  # the last key of a batch may go on in the next
+            if batch.num_rows:
+                before, last = last, (batch["start"][-1].as_py(), batch["key"][-1].as_py())
+                first_of_last = int(np.argmax((batch["start"].to_numpy() == last[0]) & (batch["key"].to_numpy() == last[1])))
+                if first_of_last or last != before:
+                    held.append(batch.slice(0, first_of_last))
+                    yield from links(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(first_of_last))
+        if held:
+            yield from links(pa.Table.from_batches(held))
+
+    return run
+
+
 def fingerprint_links(classes: DataFrame, distance: int = 4) -> DataFrame:
     """Edges (a, b) between different fingerprints, enough to connect every two that differ in at most `distance` bits.
 
@@ -157,36 +182,19 @@ def fingerprint_links(classes: DataFrame, distance: int = 4) -> DataFrame:
             budget.append((U64((1 << total) - 1), length * distance // (distance + 1)))
         chains.append(budget)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            start, key, values = (table[c].to_numpy() for c in ("start", "key", "fp"))
-            for k in np.unique(start).tolist():
-                rows = np.flatnonzero(start == k)
-                at = ring[k // 2][0]
-                u = values[rows].view(U64)
-                turned = (u >> U64(at)) | (u << U64(BITS - at)) if at else u
-                a, b = chain_links(key[rows], turned, chains[k // 2], distance)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(values[rows[a]]), pa.array(values[rows[b]])], names=["a", "b"])
-
-        for batch in batches:  # rows are sorted; the last key of a batch may go on in the next
-            if batch.num_rows:
-                last = (batch["start"][-1].as_py(), batch["key"][-1].as_py())
-                same = (batch["start"].to_numpy() == last[0]) & (batch["key"].to_numpy() == last[1])
-                cut_at = int(np.argmax(same))
-                if cut_at or not held or (held[-1]["start"][-1].as_py(), held[-1]["key"][-1].as_py()) != last:
-                    held.append(batch.slice(0, cut_at))
-                    yield from links(pa.Table.from_batches(held))
-                    held = [batch.slice(cut_at)]
-                else:
-                    held.append(batch)
-        if held:
-            yield from links(pa.Table.from_batches(held))
+    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        start, key, values = (table[c].to_numpy() for c in ("start", "key", "fp"))
+        for k in np.unique(start).tolist():
+            rows = np.flatnonzero(start == k)
+            at = ring[k // 2][0]
+            u = values[rows].view(U64)
+            turned = (u >> U64(at)) | (u << U64(BITS - at)) if at else u
+            a, b = chain_links(key[rows], turned, chains[k // 2], distance)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(values[rows[a]]), pa.array(values[rows[b]])], names=["a", "b"])
 
     rows = classes.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.start", "k.key", "fp")
-    return rows.repartition("start", "key").sortWithinPartitions("start", "key", "fp").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("start", "key").sortWithinPartitions("start", "key", "fp").mapInArrow(by_key(links), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, k: int = 5, distance: int = 4, seed: int = 42) -> DataFrame:
@@ -206,8 +214,121 @@ def simhash_components(docs: DataFrame, k: int = 5, distance: int = 4, seed: int
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, distance: int = 4) -> DataFrame:
-    """The columns and rows of docs without those whose component has a smaller doc_id. Rows that repeat a doc_id
-    stay or go together; rows without one stay."""
-    gone = simhash_components(docs, k, distance).filter("component_id < doc_id").select("doc_id").distinct()
+#: 64-bit parts of a wide fingerprint, and those whose segments, five each, form the ring.
+PARTS, RING_PARTS = 8, 4
+#: Rows of a key that are compared all with all; more are searched, see chain_links.
+COMPARED = 4096
+
+
+def bits_for(similarity: float) -> tuple[int, int]:
+    """Differing bits that wide fingerprints may have on the ring, and on the whole, for a Jaccard similarity of texts of one
+    length. Shingle counts then have the cosine 2 s / (1 + s), and each bit differs with the angle's share of a half turn. The
+    whole may have half a standard deviation more than expected; the ring, which only prunes, two and a half."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    of = lambda n, deviations: int(n * share + deviations * np.sqrt(n * share * (1 - share)))
+    return of(BITS * RING_PARTS, 2.5), of(BITS * PARTS, 0.5)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the same nodes as (a, b), at most one a node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = root.copy()
+        np.minimum.at(least, i, root[j])
+        np.minimum.at(least, j, root[i])
+        np.minimum.at(least, root, least)
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    some = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[some], nodes[root[some]]
+
+
+def wide_links(classes: DataFrame, ring_distance: int, distance: int) -> DataFrame:
+    """Edges (a, b) between the ids of wide fingerprints (id, f0, f1, ...) that differ in at most `distance` bits.
+
+    Candidates share one of the ring's segments exactly. From it on, every chain of segments has to keep within its share of
+    ring_distance (the pigeonring's condition, with the equal segment as its start) before the whole counts. Near copies have
+    several equal segments, so that a pair is missed only if all their chains fail; README has the measured recall.
+    """
+    columns = [f"f{p}" for p in range(PARTS)]
+    ring = [(p, at, width) for p in range(RING_PARTS) for at, width in segments(5)]
+    keys = [F.struct(F.lit(s).alias("start"), F.shiftrightunsigned(F.col(f"f{p}"), at).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for s, (p, at, width) in enumerate(ring)]
+
+    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        start, key, ids = (table[c].to_numpy() for c in ("start", "key", "id"))
+        values = np.column_stack([table[c].to_numpy().view(U64) for c in columns]) if len(ids) else np.zeros((0, PARTS), U64)
+        found_a, found_b = [], []
+        for s in np.unique(start).tolist():
+            rows = np.flatnonzero(start == s)
+            k, v = key[rows], values[rows]
+            new = np.concatenate([[True], k[1:] != k[:-1]])
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(k)))
+            left_in_run = np.repeat(first + size, size) - np.arange(len(k))
+            compared = np.repeat(size <= COMPARED, size)
+            for lag in range(1, int(min(size.max(), COMPARED))):
+                i = np.flatnonzero((left_in_run > lag) & compared)
+                if not len(i):
+                    break
+                total = np.zeros(len(i), np.int64)
+                for step in range(1, len(ring)):
+                    p, at, width = ring[(s + step) % len(ring)]
+                    total += np.bitwise_count((v[i, p] ^ v[i + lag, p]) & U64(((1 << width) - 1) << at))
+                    ok = total <= (step + 1) * ring_distance // len(ring)
+                    i, total = i[ok], total[ok]
+                    if not len(i):
+                        break
+                if len(i):
+                    i = i[np.bitwise_count(v[i] ^ v[i + lag]).sum(1) <= distance]
+                    found_a.append(rows[i])
+                    found_b.append(rows[i + lag])
+            for r in np.flatnonzero(size > COMPARED):
+                todo, rest = [], rows[first[r] : first[r] + size[r]]
+                while len(rest):
+                    at_ = todo.pop() if todo else None
+                    if at_ is None:
+                        at_, rest = rest[0], rest[1:]
+                    near = np.bitwise_count(values[rest] ^ values[at_]).sum(1) <= distance
+                    got, rest = rest[near], rest[~near]
+                    found_a.append(np.full(len(got), at_))
+                    found_b.append(got)
+                    todo += got.tolist()
+        if found_a:
+            a, b = forest(ids[np.concatenate(found_a)], ids[np.concatenate(found_b)])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rows = classes.select("id", *columns, F.explode(F.array(*keys)).alias("k")).select("k.start", "k.key", "id", *columns)
+    return rows.repartition("start", "key").sortWithinPartitions("start", "key", "id").mapInArrow(by_key(links), "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """doc_id and component_id (its group's smallest) of documents that aren't the first of their group of near copies.
+
+    Fingerprints are of PARTS * 64 bits, which tell similarities of k-word shingles near the threshold apart; copies with one
+    fingerprint meet before anything is compared. Rows without an id take no part; rows that repeat an id are one document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                fp = shingle_fingerprints(part.column("text"), k, seed, PARTS).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(fp[:, p])) for p in range(PARTS))], names=["doc_id", *columns])
+
+    columns = [f"f{p}" for p in range(PARTS)]
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in columns)
+    prints = cut(documents(docs).filter("doc_id is not null").mapInArrow(run, schema), "fingerprints", narrow=True)
+    classes = cut(prints.groupBy(*columns).agg(F.min("doc_id").alias("id")), "classes")
+    comps = connected_components(wide_links(classes, *bits_for(similarity))).withColumnRenamed("node", "id")
+    of = classes.join(comps, "id", "left").select(*columns, F.coalesce("component", "id").alias("component_id"))
+    return prints.join(of, columns).filter("component_id < doc_id").select("doc_id", "component_id").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The columns and rows of docs without those that near_copies finds. Rows that repeat a doc_id stay or go together; rows
+    without one stay."""
+    gone = near_copies(docs, k, similarity).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
