@@ -237,3 +237,19 @@ def positional_index(docs: DataFrame, vocabulary: list[int] | None = None) -> Da
                 k += 1
 
     return documents(docs).mapInArrow(run, "task int, shard int, term long, doc_ids array<long>, places array<long>")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The query's rows in DuckDB's SQL, for unique ids.
+ORACLE_SQL = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+bs as (select item_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) as s from b where len(w) > 0),
+bw as (select distinct item_id, len(list_slice(w, s, s + {WINDOW - 1})) as n, array_to_string(list_slice(w, s, s + {WINDOW - 1}), ' ') as k from bs),
+ds as (select doc_id, w, z.n, unnest(range(1, len(w) - z.n + 2)) as s from d, (select distinct n from bw) z where len(w) >= z.n),
+h as (select ds.doc_id, ds.s, ds.n, bw.item_id from ds join bw on ds.n = bw.n and array_to_string(list_slice(ds.w, ds.s, ds.s + ds.n - 1), ' ') = bw.k),
+p as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from h) group by doc_id),
+i as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as items from (select distinct doc_id, cast(item_id as varchar) as i from h) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(p.n_hit, 0) as n_hit, coalesce(i.n_items, 0) as n_items, sha256(coalesce(i.items, '')) as items_sha256, p.n_hit is not null as contaminated
+from d left join p on d.doc_id = p.doc_id left join i on d.doc_id = i.doc_id
+"""

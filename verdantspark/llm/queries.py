@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup
+from . import decontam, linededup, substring
 from .ann import search
 from .decontam import contamination
 from .packing import pack_documents
@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.ORACLE_SQL}
+    return {"op4_line_dedup": linededup.ORACLE_SQL, "op5_decontamination": decontam.ORACLE_SQL, "op7_substring": substring.ORACLE_SQL}

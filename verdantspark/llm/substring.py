@@ -246,3 +246,16 @@ def kept_words(group: Group, gone: np.ndarray) -> pa.Table:
         borders.append(np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]]))).tolist() if m - n < b - a else [])
     counts = np.diff(group.row)
     return pa.table({"doc_id": group.table["doc_id"], "n_words": pa.array(counts), "n_removed": pa.array(counts - np.diff(left)), "removed": pa.array(borders, pa.list_(pa.int32())), "kept": pa.array(texts, pa.binary()).cast(pa.string())})
+
+
+#: The query's rows in DuckDB's SQL, for windows of 50 words and unique ids.
+ORACLE_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, w, unnest(range(1, len(w) - 48)) as s from d where len(w) >= 50),
+k as (select doc_id, s, md5(array_to_string(list_slice(w, s, s + 49), ' ')) as k from s),
+f as (select k, min(doc_id) as least from k group by k),
+g as (select distinct k.doc_id, unnest(range(k.s, k.s + 50)) as p from k join f on k.k = f.k where f.least < k.doc_id),
+t as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from d),
+r as (select t.doc_id, count(*) as n_words, count(g.p) as n_removed, string_agg(t.word, ' ' order by t.p) filter (where g.p is null) as kept from t left join g on t.doc_id = g.doc_id and t.p = g.p group by t.doc_id)
+select d.doc_id, coalesce(r.n_words, 0) as n_words, coalesce(r.n_removed, 0) as n_removed, sha256(coalesce(r.kept, '')) as kept_sha256 from d left join r on d.doc_id = r.doc_id
+"""
