@@ -132,7 +132,19 @@ def tile_semi_join(spark, d):
     return roads.tile_semi_join(f, p, 6).select("image_id")
 
 
-@query()
+_N = geo.N
+_UTM = f"""
+with p as (select id, x / 60 + 5 as lng, y / 8 + 52 as lat from v_gvi),
+z as (select *, cast(floor((lng + 180) / 6) + 1 as integer) as zone from p),
+t as (select *, sinh(atanh(sin(radians(lat))) - {2 * math.sqrt(_N) / (1 + _N)!r} * atanh({2 * math.sqrt(_N) / (1 + _N)!r} * sin(radians(lat)))) as t, radians(lng - (zone * 6 - 183)) as l from z),
+e as (select *, atan(t / cos(l)) as xi, atanh(sin(l) / sqrt(1 + t * t)) as eta from t)
+select id, zone,
+  round(500000 + 0.9996e0 * {geo.A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)!r} * (eta + {_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16!r} * cos(2 * xi) * sinh(2 * eta) + {13 * _N**2 / 48 - 3 * _N**3 / 5!r} * cos(4 * xi) * sinh(4 * eta) + {61 * _N**3 / 240!r} * cos(6 * xi) * sinh(6 * eta)), 3) as x,
+  round(case when lat < 0 then 1e7 else 0 end + 0.9996e0 * {geo.A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)!r} * (xi + {_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16!r} * sin(2 * xi) * cosh(2 * eta) + {13 * _N**2 / 48 - 3 * _N**3 / 5!r} * sin(4 * xi) * cosh(4 * eta) + {61 * _N**3 / 240!r} * sin(6 * xi) * cosh(6 * eta)), 3) as y
+from e"""
+
+
+@query(_UTM)
 def utm_project(spark, d):
     p = view(spark, d, "v_gvi").select("id", (F.col("x") / 60 + 5).alias("lng"), (F.col("y") / 8 + 52).alias("lat"))
     u = geo.utm_project(F.col("lng"), F.col("lat"), geo.utm_zone(F.col("lng")))
@@ -217,7 +229,7 @@ def road_centres(spark, d):
     return images.road_centres(_masks(spark, d)).select("vec_id", "centres")
 
 
-@query()
+@query("select vec_id, c as centre, cast((mask[17 + ((c + 9) % 10) % 8] = 8) as bigint) + cast((mask[17 + c % 8] = 8) as bigint) as veg, cast(2 as bigint) as px from v_masks, (select cast(unnest(range(0, 10)) as integer) as c)")
 def road_centre_crop(spark, d):
     m = _masks(spark, d).withColumn("wide", masks.wrap_widen(F.col("mask")))
     c = m.select("vec_id", "wide", F.explode(F.sequence(F.lit(0), masks.width(F.col("wide")) - 1)).alias("centre"))
