@@ -3,7 +3,7 @@
 import hashlib
 import zlib
 
-import brute
+import plain_versions as brute
 import numpy as np
 import pyarrow as pa
 import pytest

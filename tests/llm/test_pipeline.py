@@ -2,9 +2,9 @@
 
 import os
 
-import brute
+import plain_versions as brute
 import pytest
-from test_operators import plain_lines
+from test_corpus_operators import plain_lines
 
 SF = "/root/testdata/sf0.001"
 pipeline = pytest.importorskip("corpus_pipeline")
