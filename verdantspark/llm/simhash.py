@@ -37,21 +37,18 @@ def bit_majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_fingerprints(texts: pa.Array, k: int, seed: int = 42, parts: int = 1) -> np.ndarray:
-    """The SimHash of each text: words are runs of other bytes than ASCII white space, A-Z lower-cased; XXH64 of each
-    run of k words joined by one space. Fewer words: the whole sequence; none (or null): zero.
-
-    More parts are further columns of 64 bits, from hashes that are mixed anew.
-    """
+def hashed_shingles(texts: pa.Array, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 of each run of k words joined by one space, text by text, repeats included; the texts that have some; and where
+    each of these begins. Words are runs of other bytes than ASCII white space, A-Z lower-cased. Fewer words: the whole
+    sequence; none (or null): no shingle."""
     from xxhash import xxh64_intdigest
 
     buf, offsets = text_buffer(texts)
     starts, ends, row = words(buf, offsets, NOT_SPACE)
-    out = np.zeros((parts, len(texts)), U64)
     counts = np.diff(row)
     some = np.flatnonzero(counts)
     if not len(some):
-        return out.T if parts > 1 else out[0]
+        return np.zeros(0, U64), some, some
     lens = ends - starts
     at = np.concatenate([[0], np.cumsum(lens + 1)])
     flat = np.full(at[-1], 0x20, np.uint8)
@@ -63,11 +60,31 @@ def shingle_fingerprints(texts: pa.Array, k: int, seed: int = 42, parts: int = 1
     last = np.minimum(w + k, np.repeat(row[1:][some], n))
     data = memoryview(flat.tobytes())
     h = np.fromiter((xxh64_intdigest(data[a:b], seed) for a, b in zip(at[w].tolist(), (at[last] - 1).tolist(), strict=True)), U64, len(w))
-    for part in range(parts):
-        out[part, some] = bit_majority(mix(h ^ U64(part * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if part else h, first)
+    return h, some, first
+
+
+def shingle_fingerprints(texts: pa.Array, k: int, seed: int = 42, parts: int = 1) -> np.ndarray:
+    """The SimHash of each text, from its hashed_shingles; zero for a text without any.
+
+    More parts are further columns of 64 bits, from hashes that are mixed anew.
+    """
+    h, some, first = hashed_shingles(texts, k, seed)
+    out = np.zeros((parts, len(texts)), U64)
+    if len(some):
+        for part in range(parts):
+            out[part, some] = bit_majority(mix(h ^ U64(part * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if part else h, first)
     return out.T if parts > 1 else out[0]
 
 
+def shingle_hashes(texts: pa.Array, k: int, seed: int = 42) -> list[np.ndarray]:
+    """The hashed_shingles of each text."""
+    h, some, first = hashed_shingles(texts, k, seed)
+    out = [h[:0]] * len(texts)
+    for i, part in zip(some.tolist(), np.split(h, first[1:]) if len(some) else [], strict=True):
+        out[i] = part
+    return out
+
+
 def fingerprints(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long), in the partitions of docs."""
 
@@ -214,54 +231,55 @@ def simhash_components(docs: DataFrame, k: int = 5, distance: int = 4, seed: int
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: 64-bit parts of a wide fingerprint, and those whose segments, five each, form the ring.
-PARTS, RING_PARTS = 8, 4
-#: Rows of a key that are compared all with all; more are searched, see chain_links.
+#: 64-bit parts of a wide fingerprint; their segments, five each, form the ring.
+PARTS = 8
+#: Segments of a chain that are checked one by one before the whole counts.
+CHAIN = 8
+#: Rows of a key that are compared all with all; more are searched, see wide_links.
 COMPARED = 4096
 
 
-def bits_for(similarity: float) -> tuple[int, int]:
-    """Differing bits that wide fingerprints may have on the ring, and on the whole, for a Jaccard similarity of texts of one
-    length. Shingle counts then have the cosine 2 s / (1 + s), and each bit differs with the angle's share of a half turn. The
-    whole may have half a standard deviation more than expected; the ring, which only prunes, two and a half."""
+def bits_for(similarity: float, deviations: float = 2.5) -> tuple[int, int]:
+    """Differing bits of wide fingerprints up to which a pair is taken as alike, and beyond which as not, for a Jaccard
+    similarity of texts of one length. Shingle counts then have the cosine 2 s / (1 + s), and each bit differs with the angle's
+    share of a half turn; the bounds lie so many standard deviations below and above the expected number."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    of = lambda n, deviations: int(n * share + deviations * np.sqrt(n * share * (1 - share)))
-    return of(BITS * RING_PARTS, 2.5), of(BITS * PARTS, 0.5)
+    bits = BITS * PARTS
+    mean, spread = bits * share, deviations * np.sqrt(bits * share * (1 - share))
+    return max(0, int(mean - spread)), int(mean + spread)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect the same nodes as (a, b), at most one a node."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least position connected with each of n positions by edges (a, b)."""
+    root = np.arange(n)
     while True:
         least = root.copy()
-        np.minimum.at(least, i, root[j])
-        np.minimum.at(least, j, root[i])
+        np.minimum.at(least, a, root[b])
+        np.minimum.at(least, b, root[a])
         np.minimum.at(least, root, least)
         least = least[least]
         if (least == root).all():
-            break
+            return root
         root = least
-    some = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[some], nodes[root[some]]
 
 
-def wide_links(classes: DataFrame, ring_distance: int, distance: int) -> DataFrame:
-    """Edges (a, b) between the ids of wide fingerprints (id, f0, f1, ...) that differ in at most `distance` bits.
+def wide_links(classes: DataFrame, surely: int, at_most: int) -> DataFrame:
+    """Pairs (a, b) of ids of wide fingerprints (id, f0, f1, ...), and whether they are sure: edges that connect all candidates
+    that differ in at most `surely` bits, and every candidate pair of up to `at_most` bits that these edges leave apart.
 
-    Candidates share one of the ring's segments exactly. From it on, every chain of segments has to keep within its share of
-    ring_distance (the pigeonring's condition, with the equal segment as its start) before the whole counts. Near copies have
-    several equal segments, so that a pair is missed only if all their chains fail; README has the measured recall.
+    Candidates share one of the ring's segments exactly. From it on, chains of up to CHAIN segments have to keep within their
+    share of at_most (the pigeonring's condition, with the equal segment as its start) before the whole counts. Near copies
+    have several equal segments, so that a pair is missed only if all their chains fail; README has the measured recall. A key
+    of more than COMPARED rows is searched from row to row, and what has been reached isn't compared again.
     """
     columns = [f"f{p}" for p in range(PARTS)]
-    ring = [(p, at, width) for p in range(RING_PARTS) for at, width in segments(5)]
+    ring = [(p, at, width) for p in range(PARTS) for at, width in segments(5)]
     keys = [F.struct(F.lit(s).alias("start"), F.shiftrightunsigned(F.col(f"f{p}"), at).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for s, (p, at, width) in enumerate(ring)]
 
     def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
         start, key, ids = (table[c].to_numpy() for c in ("start", "key", "id"))
-        values = np.column_stack([table[c].to_numpy().view(U64) for c in columns]) if len(ids) else np.zeros((0, PARTS), U64)
-        found_a, found_b = [], []
+        values = np.column_stack([table[c].to_numpy().view(U64) for c in columns])
+        sure, open_ = [], []
         for s in np.unique(start).tolist():
             rows = np.flatnonzero(start == s)
             k, v = key[rows], values[rows]
@@ -275,41 +293,78 @@ def wide_links(classes: DataFrame, ring_distance: int, distance: int) -> DataFra
                 if not len(i):
                     break
                 total = np.zeros(len(i), np.int64)
-                for step in range(1, len(ring)):
+                for step in range(1, CHAIN):
                     p, at, width = ring[(s + step) % len(ring)]
                     total += np.bitwise_count((v[i, p] ^ v[i + lag, p]) & U64(((1 << width) - 1) << at))
-                    ok = total <= (step + 1) * ring_distance // len(ring)
+                    ok = total <= (step + 1) * at_most // len(ring)
                     i, total = i[ok], total[ok]
                     if not len(i):
                         break
                 if len(i):
-                    i = i[np.bitwise_count(v[i] ^ v[i + lag]).sum(1) <= distance]
-                    found_a.append(rows[i])
-                    found_b.append(rows[i + lag])
+                    bits = np.bitwise_count(v[i] ^ v[i + lag]).sum(1)
+                    for into, some in ((sure, bits <= surely), (open_, (bits > surely) & (bits <= at_most))):
+                        if some.any():
+                            into.append((rows[i[some]], rows[i[some] + lag]))
             for r in np.flatnonzero(size > COMPARED):
                 todo, rest = [], rows[first[r] : first[r] + size[r]]
                 while len(rest):
                     at_ = todo.pop() if todo else None
                     if at_ is None:
                         at_, rest = rest[0], rest[1:]
-                    near = np.bitwise_count(values[rest] ^ values[at_]).sum(1) <= distance
-                    got, rest = rest[near], rest[~near]
-                    found_a.append(np.full(len(got), at_))
-                    found_b.append(got)
-                    todo += got.tolist()
-        if found_a:
-            a, b = forest(ids[np.concatenate(found_a)], ids[np.concatenate(found_b)])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    bits = np.bitwise_count(values[rest] ^ values[at_]).sum(1)
+                    near, maybe = bits <= surely, (bits > surely) & (bits <= at_most)
+                    for into, got in ((sure, rest[near]), (open_, rest[maybe])):
+                        if len(got):
+                            into.append((np.full(len(got), at_), got))
+                    todo += rest[near].tolist()
+                    rest = rest[~near]
+        both = lambda pairs: (np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])) if pairs else (np.zeros(0, np.int64),) * 2
+        root = roots(len(ids), *(both(sure)))
+        held = np.flatnonzero(root != np.arange(len(ids)))
+        a, b = both(open_)
+        apart = root[a] != root[b]
+        left, right = np.concatenate([ids[held], ids[a[apart]]]), np.concatenate([ids[root[held]], ids[b[apart]]])
+        kind = np.arange(len(left)) < len(held)
+        left, right, kind = (x[left != right] for x in (left, right, kind))
+        if len(left):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(kind)], names=["a", "b", "sure"])
 
     rows = classes.select("id", *columns, F.explode(F.array(*keys)).alias("k")).select("k.start", "k.key", "id", *columns)
-    return rows.repartition("start", "key").sortWithinPartitions("start", "key", "id").mapInArrow(by_key(links), "a long, b long").distinct()
+    return rows.repartition("start", "key").sortWithinPartitions("start", "key", "id").mapInArrow(by_key(links), "a long, b long, sure boolean").distinct()
+
+
+def alike(pairs: DataFrame, docs: DataFrame, k: int, similarity: float, seed: int = 42) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of k-word shingles have a Jaccard similarity of at least `similarity`."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                out = [np.unique(h).tobytes() for h in shingle_hashes(part.column("text"), k, seed)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], names=["id", "shingles"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch[c][i].as_buffer(), U64) for c in ("x", "y"))
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[i] = shared >= similarity * (len(x) + len(y) - shared)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    known = cut(documents(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary"), "shingles")
+    of = lambda side, name: known.select(F.col("id").alias(side), F.col("shingles").alias(name))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(check, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """doc_id and component_id (its group's smallest) of documents that aren't the first of their group of near copies.
 
-    Fingerprints are of PARTS * 64 bits, which tell similarities of k-word shingles near the threshold apart; copies with one
-    fingerprint meet before anything is compared. Rows without an id take no part; rows that repeat an id are one document.
+    Fingerprints are of PARTS * 64 bits; copies with one fingerprint meet before anything is compared. Pairs whose
+    fingerprints are very near link at once. Of pairs near the threshold, those that such links leave in different groups
+    are checked by their shingles, so a group of copies is never checked pair by pair. Rows without an id take no part; rows
+    that repeat an id are one document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,9 +375,16 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, seed: int
 
     columns = [f"f{p}" for p in range(PARTS)]
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in columns)
-    prints = cut(documents(docs).filter("doc_id is not null").mapInArrow(run, schema), "fingerprints", narrow=True)
+    docs = docs.filter("doc_id is not null")
+    prints = cut(documents(docs).mapInArrow(run, schema), "fingerprints", narrow=True)
     classes = cut(prints.groupBy(*columns).agg(F.min("doc_id").alias("id")), "classes")
-    comps = connected_components(wide_links(classes, *bits_for(similarity))).withColumnRenamed("node", "id")
+    found = cut(wide_links(classes, *bits_for(similarity)), "links")
+    sure = cut(connected_components(found.filter("sure").select("a", "b")), "sure")
+    group = lambda side: sure.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    unsure = found.filter("not sure").select("a", "b").join(group("a"), "a", "left").join(group("b"), "b", "left")
+    unsure = cut(unsure.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "unsure")
+    edges = sure.select(F.col("node").alias("a"), F.col("component").alias("b")).union(alike(unsure, docs, k, similarity, seed))
+    comps = connected_components(edges).withColumnRenamed("node", "id")
     of = classes.join(comps, "id", "left").select(*columns, F.coalesce("component", "id").alias("component_id"))
     return prints.join(of, columns).filter("component_id < doc_id").select("doc_id", "component_id").distinct()
 
