@@ -263,9 +263,29 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = least
 
 
+def nearest_edges(group: np.ndarray, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b), those of a spanning forest of least differing bits over the groups (Boruvka's method), so that
+    their number is at most that of the groups, each group's nearest pair included."""
+    bits = np.bitwise_count(values[a] ^ values[b]).sum(1) if len(a) else a
+    order = np.argsort(bits, kind="stable")
+    a, b = a[order], b[order]
+    left, right = [a[:0]], [b[:0]]
+    while True:
+        apart = group[a] != group[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return np.concatenate(left), np.concatenate(right)
+        _, at = np.unique(np.column_stack([group[a], group[b]]).ravel(), return_index=True)
+        picked = np.unique(at // 2)
+        left.append(a[picked])
+        right.append(b[picked])
+        group = roots(len(group), group[a[picked]], group[b[picked]])[group]
+
+
 def wide_links(classes: DataFrame, surely: int, at_most: int) -> DataFrame:
     """Pairs (a, b) of ids of wide fingerprints (id, f0, f1, ...), and whether they are sure: edges that connect all candidates
-    that differ in at most `surely` bits, and every candidate pair of up to `at_most` bits that these edges leave apart.
+    that differ in at most `surely` bits, and of the candidate pairs of up to `at_most` bits that these edges leave apart, the
+    nearest_edges of each batch of keys, so that a group of like texts never gives all its pairs.
 
     Candidates share one of the ring's segments exactly. From it on, chains of up to CHAIN segments have to keep within their
     share of at_most (the pigeonring's condition, with the equal segment as its start) before the whole counts. Near copies
@@ -321,9 +341,8 @@ def wide_links(classes: DataFrame, surely: int, at_most: int) -> DataFrame:
         both = lambda pairs: (np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])) if pairs else (np.zeros(0, np.int64),) * 2
         root = roots(len(ids), *(both(sure)))
         held = np.flatnonzero(root != np.arange(len(ids)))
-        a, b = both(open_)
-        apart = root[a] != root[b]
-        left, right = np.concatenate([ids[held], ids[a[apart]]]), np.concatenate([ids[root[held]], ids[b[apart]]])
+        a, b = nearest_edges(root, *both(open_), values)
+        left, right = np.concatenate([ids[held], ids[a]]), np.concatenate([ids[root[held]], ids[b]])
         kind = np.arange(len(left)) < len(held)
         left, right, kind = (x[left != right] for x in (left, right, kind))
         if len(left):
@@ -363,7 +382,8 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, seed: int
 
     Fingerprints are of PARTS * 64 bits; copies with one fingerprint meet before anything is compared. Pairs whose
     fingerprints are very near link at once. Of pairs near the threshold, those that such links leave in different groups
-    are checked by their shingles, so a group of copies is never checked pair by pair. Rows without an id take no part; rows
+    are checked by their shingles; of these, each key gives its nearest ones (see wide_links), so a group is never checked
+    pair by pair. A link that is in no key among the nearest can be missed; README has figures. Rows without an id take no part; rows
     that repeat an id are one document.
     """
 
