@@ -263,29 +263,10 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = least
 
 
-def nearest_edges(group: np.ndarray, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (a, b), those of a spanning forest of least differing bits over the groups (Boruvka's method), so that
-    their number is at most that of the groups, each group's nearest pair included."""
-    bits = np.bitwise_count(values[a] ^ values[b]).sum(1) if len(a) else a
-    order = np.argsort(bits, kind="stable")
-    a, b = a[order], b[order]
-    left, right = [a[:0]], [b[:0]]
-    while True:
-        apart = group[a] != group[b]
-        a, b = a[apart], b[apart]
-        if not len(a):
-            return np.concatenate(left), np.concatenate(right)
-        _, at = np.unique(np.column_stack([group[a], group[b]]).ravel(), return_index=True)
-        picked = np.unique(at // 2)
-        left.append(a[picked])
-        right.append(b[picked])
-        group = roots(len(group), group[a[picked]], group[b[picked]])[group]
-
-
-def wide_links(classes: DataFrame, surely: int, at_most: int) -> DataFrame:
-    """Pairs (a, b) of ids of wide fingerprints (id, f0, f1, ...), and whether they are sure: edges that connect all candidates
-    that differ in at most `surely` bits, and of the candidate pairs of up to `at_most` bits that these edges leave apart, the
-    nearest_edges of each batch of keys, so that a group of like texts never gives all its pairs.
+def wide_links(classes: DataFrame, at_most: int) -> DataFrame:
+    """Edges (a, b) between ids of wide fingerprints (id, f0, f1, ...), enough to connect all candidate pairs: those that differ
+    in at most `at_most` bits. A group of like texts never gives all its pairs; which of its texts are near copies is for
+    similar_groups to say.
 
     Candidates share one of the ring's segments exactly. From it on, chains of up to CHAIN segments have to keep within their
     share of at_most (the pigeonring's condition, with the equal segment as its start) before the whole counts. Near copies
@@ -299,7 +280,7 @@ def wide_links(classes: DataFrame, surely: int, at_most: int) -> DataFrame:
     def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
         start, key, ids = (table[c].to_numpy() for c in ("start", "key", "id"))
         values = np.column_stack([table[c].to_numpy().view(U64) for c in columns])
-        sure, open_ = [], []
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s in np.unique(start).tolist():
             rows = np.flatnonzero(start == s)
             k, v = key[rows], values[rows]
@@ -320,71 +301,106 @@ def wide_links(classes: DataFrame, surely: int, at_most: int) -> DataFrame:
                     i, total = i[ok], total[ok]
                     if not len(i):
                         break
-                if len(i):
-                    bits = np.bitwise_count(v[i] ^ v[i + lag]).sum(1)
-                    for into, some in ((sure, bits <= surely), (open_, (bits > surely) & (bits <= at_most))):
-                        if some.any():
-                            into.append((rows[i[some]], rows[i[some] + lag]))
+                i = i[np.bitwise_count(v[i] ^ v[i + lag]).sum(1) <= at_most] if len(i) else i
+                left.append(rows[i])
+                right.append(rows[i + lag])
             for r in np.flatnonzero(size > COMPARED):
                 todo, rest = [], rows[first[r] : first[r] + size[r]]
                 while len(rest):
                     at_ = todo.pop() if todo else None
                     if at_ is None:
                         at_, rest = rest[0], rest[1:]
-                    bits = np.bitwise_count(values[rest] ^ values[at_]).sum(1)
-                    near, maybe = bits <= surely, (bits > surely) & (bits <= at_most)
-                    for into, got in ((sure, rest[near]), (open_, rest[maybe])):
-                        if len(got):
-                            into.append((np.full(len(got), at_), got))
+                    near = np.bitwise_count(values[rest] ^ values[at_]).sum(1) <= at_most
+                    left.append(np.full(near.sum(), at_))
+                    right.append(rest[near])
                     todo += rest[near].tolist()
                     rest = rest[~near]
-        both = lambda pairs: (np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])) if pairs else (np.zeros(0, np.int64),) * 2
-        root = roots(len(ids), *(both(sure)))
-        held = np.flatnonzero(root != np.arange(len(ids)))
-        a, b = nearest_edges(root, *both(open_), values)
-        left, right = np.concatenate([ids[held], ids[a]]), np.concatenate([ids[root[held]], ids[b]])
-        kind = np.arange(len(left)) < len(held)
-        left, right, kind = (x[left != right] for x in (left, right, kind))
-        if len(left):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(kind)], names=["a", "b", "sure"])
+        root = roots(len(ids), np.concatenate(left), np.concatenate(right))
+        x, y = ids, ids[root]
+        apart = x != y
+        if apart.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[apart]), pa.array(np.maximum(x, y)[apart])], names=["a", "b"])
 
     rows = classes.select("id", *columns, F.explode(F.array(*keys)).alias("k")).select("k.start", "k.key", "id", *columns)
-    return rows.repartition("start", "key").sortWithinPartitions("start", "key", "id").mapInArrow(by_key(links), "a long, b long, sure boolean").distinct()
+    return rows.repartition("start", "key").sortWithinPartitions("start", "key", "id").mapInArrow(by_key(links), "a long, b long").distinct()
+
 
+def linked_sets(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Per row, the least id connected with it by pairs of sets whose Jaccard similarity is at least `similarity`; rows of one
+    id are connected. Sets are of distinct values.
 
-def alike(pairs: DataFrame, docs: DataFrame, k: int, similarity: float, seed: int = 42) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of k-word shingles have a Jaccard similarity of at least `similarity`."""
+    A search from each row in turn compares it with all rows that haven't been reached and whose sizes allow the similarity, by
+    exact counts; a row that has been reached hangs together with the search's rows already, so no pair that matters is left out.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.lexsort((ids, size))  # rows whose sizes allow the similarity are a stretch
+    size = size[order]
+    at = np.concatenate([[0], np.cumsum(size)])
+    names, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    group, mark = np.arange(len(ids)), np.zeros(len(names), bool)
+    rest = np.arange(len(ids))
+    while len(rest):
+        first, rest = rest[0], rest[1:]
+        todo = [first]
+        while todo and len(rest):
+            row = todo.pop()
+            own = flat[at[row] : at[row + 1]]
+            a, b = np.searchsorted(size[rest], (np.ceil(similarity * size[row] - 1e-9), np.floor(size[row] / similarity + 1e-9) + 0.5))
+            some = rest[a:b]
+            n = size[some]
+            ends = np.cumsum(n)
+            mark[own] = True
+            hits = np.concatenate([[0], np.cumsum(mark[flat[np.arange(n.sum()) + np.repeat(at[some] - (ends - n), n)]])])
+            mark[own] = False
+            shared = hits[ends] - hits[ends - n]
+            near = shared >= similarity * (n + size[row] - shared)
+            if near.any():
+                got = some[near]
+                group[got] = first
+                todo += got.tolist()
+                rest = np.delete(rest, a + np.flatnonzero(near))
+    named = ids[order]
+    _, same = np.unique(named, return_inverse=True)
+    once = np.full(same.max() + 1, len(ids)) if len(ids) else same
+    np.minimum.at(once, same, np.arange(len(ids)))
+    group = roots(len(ids), np.concatenate([np.arange(len(ids))] * 2), np.concatenate([group, once[same]]))
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, named)
+    out = np.empty(len(ids), np.int64)
+    out[order] = least[group]
+    return out
+
+
+def similar_groups(candidates: DataFrame, docs: DataFrame, k: int, similarity: float, seed: int = 42) -> DataFrame:
+    """node and component, the smallest id connected with it by pairs whose sets of k-word shingles have a Jaccard similarity of
+    at least `similarity`, for candidates (node, component). Every pair of a candidate component counts, see linked_sets; a
+    component's sets meet in one task."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 out = [np.unique(h).tobytes() for h in shingle_hashes(part.column("text"), k, seed)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(out, pa.binary())], names=["key", "id", "shingles"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch[c][i].as_buffer(), U64) for c in ("x", "y"))
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = shared >= similarity * (len(x) + len(y) - shared)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    def check(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, ids = table["key"].to_numpy(), table["id"].to_numpy()
+        found = [np.frombuffer(x.as_buffer(), U64) if x.as_buffer().size else np.zeros(0, U64) for x in table["shingles"]]
+        edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else []
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(linked_sets(ids[a:b], found[a:b], similarity))], names=["node", "component"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    known = cut(documents(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary"), "shingles")
-    of = lambda side, name: known.select(F.col("id").alias(side), F.col("shingles").alias(name))
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(check, "a long, b long").distinct()
+    of = candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("key"))
+    known = documents(docs).join(of, "doc_id").select("key", "doc_id", "text").mapInArrow(sets, "key long, id long, shingles binary")
+    rows = known.withColumn("start", F.lit(0)).repartition("key").sortWithinPartitions("key", "id")
+    return rows.mapInArrow(by_key(check), "node long, component long").distinct()
 
 
 def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """doc_id and component_id (its group's smallest) of documents that aren't the first of their group of near copies.
 
-    Fingerprints are of PARTS * 64 bits; copies with one fingerprint meet before anything is compared. Pairs whose
-    fingerprints are very near link at once. Of pairs near the threshold, those that such links leave in different groups
-    are checked by their shingles; of these, each key gives its nearest ones (see wide_links), so a group is never checked
-    pair by pair. A link that is in no key among the nearest can be missed; README has figures. Rows without an id take no part; rows
-    that repeat an id are one document.
+    Fingerprints are of PARTS * 64 bits; copies with one fingerprint meet before anything is compared. Fingerprints only say
+    which documents are candidates; those link whose exact similarity is enough (see similar_groups). Rows without an id take no part;
+    rows that repeat an id are one document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,13 +414,9 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, seed: int
     docs = docs.filter("doc_id is not null")
     prints = cut(documents(docs).mapInArrow(run, schema), "fingerprints", narrow=True)
     classes = cut(prints.groupBy(*columns).agg(F.min("doc_id").alias("id")), "classes")
-    found = cut(wide_links(classes, *bits_for(similarity)), "links")
-    sure = cut(connected_components(found.filter("sure").select("a", "b")), "sure")
-    group = lambda side: sure.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-    unsure = found.filter("not sure").select("a", "b").join(group("a"), "a", "left").join(group("b"), "b", "left")
-    unsure = cut(unsure.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "unsure")
-    edges = sure.select(F.col("node").alias("a"), F.col("component").alias("b")).union(alike(unsure, docs, k, similarity, seed))
-    comps = connected_components(edges).withColumnRenamed("node", "id")
+    found = cut(wide_links(classes, bits_for(similarity)[1]), "links")
+    candidates = cut(connected_components(found), "candidates")
+    comps = cut(similar_groups(candidates, docs, k, similarity, seed), "groups").withColumnRenamed("node", "id")
     of = classes.join(comps, "id", "left").select(*columns, F.coalesce("component", "id").alias("component_id"))
     return prints.join(of, columns).filter("component_id < doc_id").select("doc_id", "component_id").distinct()
 
