@@ -28,3 +28,19 @@ def test_family_at_the_threshold(spark, family):
     found = {(r.doc_id, r.component_id) for r in simhash.near_copies(df, 5, 0.8).collect()}
     want = {(2 * i + 1, 2 * i) for i in range(150)}
     assert found <= want and len(found) >= 146
+
+
+def test_equal_fingerprints_of_other_texts(spark):
+    """Texts dominated by one repeated passage have equal fingerprints if repeats count, however much else they hold."""
+    rng = random.Random(9)
+    passage = fresh(rng, 40)
+    texts = [" ".join(passage * 60 + fresh(rng, 60)) for _ in range(12)]
+    df = spark.createDataFrame([*enumerate([*texts, texts[3]])], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash.near_copies(df, 5, 0.8).collect()} == {(12, 3)}
+
+
+def test_sure_candidates_are_checked(monkeypatch, spark, family):
+    """However near the fingerprints, pairs link by their shingles only."""
+    monkeypatch.setattr(simhash, "bits_for", lambda *_: (200, 200))
+    df = spark.createDataFrame(list(enumerate(family[:80])), "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash.near_copies(df, 5, 0.8).collect()} == {(2 * i + 1, 2 * i) for i in range(40)}

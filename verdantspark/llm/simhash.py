@@ -63,28 +63,41 @@ def hashed_shingles(texts: pa.Array, k: int, seed: int) -> tuple[np.ndarray, np.
     return h, some, first
 
 
-def shingle_fingerprints(texts: pa.Array, k: int, seed: int = 42, parts: int = 1) -> np.ndarray:
-    """The SimHash of each text, from its hashed_shingles; zero for a text without any.
-
-    More parts are further columns of 64 bits, from hashes that are mixed anew.
-    """
+def shingle_fingerprints(texts: pa.Array, k: int, seed: int = 42) -> np.ndarray:
+    """The SimHash of each text, from its hashed_shingles; zero for a text without any."""
     h, some, first = hashed_shingles(texts, k, seed)
-    out = np.zeros((parts, len(texts)), U64)
+    out = np.zeros(len(texts), U64)
     if len(some):
-        for part in range(parts):
-            out[part, some] = bit_majority(mix(h ^ U64(part * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if part else h, first)
-    return out.T if parts > 1 else out[0]
+        out[some] = bit_majority(h, first)
+    return out
 
 
 def shingle_hashes(texts: pa.Array, k: int, seed: int = 42) -> list[np.ndarray]:
-    """The hashed_shingles of each text."""
+    """The hashed_shingles of each text, sorted, without repeats."""
     h, some, first = hashed_shingles(texts, k, seed)
     out = [h[:0]] * len(texts)
     for i, part in zip(some.tolist(), np.split(h, first[1:]) if len(some) else [], strict=True):
-        out[i] = part
+        out[i] = np.unique(part)
     return out
 
 
+def set_fingerprints(texts: pa.Array, k: int, seed: int = 42) -> np.ndarray:
+    """Per text, PARTS columns of 64 bits, SimHashes of its set of shingles, each from hashes that are mixed anew, and the set's
+    own hash. Repeats don't count; without shingles, the bits are zero."""
+    from xxhash import xxh64_intdigest
+
+    sets = shingle_hashes(texts, k, seed)
+    out = np.zeros((PARTS + 1, len(sets)), U64)
+    size = np.array([len(x) for x in sets], np.int64)
+    some = np.flatnonzero(size)
+    if len(some):
+        h, first = np.concatenate(sets), np.cumsum(size[some]) - size[some]
+        for part in range(PARTS):
+            out[part, some] = bit_majority(mix(h ^ U64(part * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if part else h, first)
+    out[PARTS] = [xxh64_intdigest(x.tobytes(), seed) for x in sets]
+    return out.T
+
+
 def fingerprints(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long), in the partitions of docs."""
 
@@ -379,7 +392,7 @@ def similar_groups(candidates: DataFrame, docs: DataFrame, k: int, similarity: f
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                out = [np.unique(h).tobytes() for h in shingle_hashes(part.column("text"), k, seed)]
+                out = [h.tobytes() for h in shingle_hashes(part.column("text"), k, seed)]
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(out, pa.binary())], names=["key", "id", "shingles"])
 
     def check(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -398,27 +411,29 @@ def similar_groups(candidates: DataFrame, docs: DataFrame, k: int, similarity: f
 def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """doc_id and component_id (its group's smallest) of documents that aren't the first of their group of near copies.
 
-    Fingerprints are of PARTS * 64 bits; copies with one fingerprint meet before anything is compared. Fingerprints only say
-    which documents are candidates; those link whose exact similarity is enough (see similar_groups). Rows without an id take no part;
-    rows that repeat an id are one document.
+    Fingerprints are of PARTS * 64 bits of the sets of shingles; documents with one set meet before anything is compared.
+    Fingerprints, also equal ones, only say which documents are candidates; those link whose exact similarity is enough (see
+    similar_groups). Rows without an id take no part; rows that repeat an id are one document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                fp = shingle_fingerprints(part.column("text"), k, seed, PARTS).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(fp[:, p])) for p in range(PARTS))], names=["doc_id", *columns])
+                fp = set_fingerprints(part.column("text"), k, seed).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(x)) for x in fp.T)], names=["doc_id", *columns, "shingles"])
 
     columns = [f"f{p}" for p in range(PARTS)]
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in columns)
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in (*columns, "shingles"))
     docs = docs.filter("doc_id is not null")
     prints = cut(documents(docs).mapInArrow(run, schema), "fingerprints", narrow=True)
-    classes = cut(prints.groupBy(*columns).agg(F.min("doc_id").alias("id")), "classes")
-    found = cut(wide_links(classes, bits_for(similarity)[1]), "links")
-    candidates = cut(connected_components(found), "candidates")
+    texts = cut(prints.groupBy(*columns, "shingles").agg(F.min("doc_id").alias("id")), "texts")
+    classes = cut(texts.groupBy(*columns).agg(F.min("id").alias("id")), "classes")
+    found = wide_links(classes, bits_for(similarity)[1])
+    same = texts.join(classes.withColumnRenamed("id", "b"), columns).select(F.col("id").alias("a"), "b").filter("a > b")
+    candidates = cut(connected_components(found.union(same)), "candidates")
     comps = cut(similar_groups(candidates, docs, k, similarity, seed), "groups").withColumnRenamed("node", "id")
-    of = classes.join(comps, "id", "left").select(*columns, F.coalesce("component", "id").alias("component_id"))
-    return prints.join(of, columns).filter("component_id < doc_id").select("doc_id", "component_id").distinct()
+    of = texts.join(comps, "id", "left").select(*columns, "shingles", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(of, [*columns, "shingles"]).filter("component_id < doc_id").select("doc_id", "component_id").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
