@@ -14,6 +14,8 @@ from .common import cut, drop_cut, small_batches
 
 #: Lines that a repeated run has at least.
 MIN_LINES = 2
+#: Words that a line has at least to be a repeated run on its own; None: no line is.
+LONE_WORDS = 1
 NO_ID = np.iinfo(np.int64).max
 
 #: A document's place in the order of copies: its id (null: last), then its text's hash; and a line's number in it.
@@ -21,28 +23,34 @@ DOC = ("d", "t")
 PLACE = (*DOC, "i")
 
 
+#: Words of the column `line`.
+WORDS = "regexp_count(line, '[^\\\\x20\\\\x09-\\\\x0D]+')"
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with the columns DOC; rows with equal id and text are one document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "t": F.xxhash64(text)})
 
 
-def ranked(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Places of rows(*PLACE, a, b) whose (a, b) occurs at two places or more, with its rank `r` and its `first` place.
+def ranked(rows: DataFrame, a: str, b: str, *more: str) -> DataFrame:
+    """Places of rows(*PLACE, a, b, *more) whose (a, b) occurs at two places or more, with its rank `r`, its `first` place and
+    the columns `more`.
 
     Ranks keep the order of (a, b): pairs, not places, are sorted over range partitions and numbered there, so a pair that
     very many places share is one row. The join back to the places is an equi-join that adaptive execution can split.
     """
     pairs = rows.groupBy(a, b).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).filter("n > 1")
     order = pairs.repartitionByRange(a, b).sortWithinPartitions(a, b).select(a, b, "first", F.monotonically_increasing_id().alias("r"))
-    return rows.join(order, [a, b]).select(*PLACE, "r", "first")
+    return rows.join(order, [a, b]).select(*PLACE, "r", "first", *more)
 
 
 def line_runs(docs: DataFrame) -> DataFrame:
-    """Places of single lines that occur more than once: the suffixes whose longest common prefix is a line or more."""
+    """Places of single lines that occur more than once, with their `words`, runs of other bytes than ASCII white space: the
+    suffixes whose longest common prefix is a line or more."""
     lines = keyed(docs).select(*DOC, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    rows = lines.select(*DOC, F.posexplode(F.split("text", "\n")).alias("i", "line")).select(*PLACE, F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"))
-    return ranked(rows, "a", "b")
+    rows = lines.select(*DOC, F.posexplode(F.split("text", "\n")).alias("i", "line")).select(*PLACE, F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"), F.expr(WORDS).alias("words"))
+    return ranked(rows, "a", "b", "words")
 
 
 def doubled(runs: DataFrame, by: int) -> DataFrame:
@@ -52,18 +60,20 @@ def doubled(runs: DataFrame, by: int) -> DataFrame:
     return ranked(runs.select(*PLACE, F.col("r").alias("a")).join(on, list(PLACE)), "a", "b")
 
 
-def repeated_runs(docs: DataFrame, lines: int) -> DataFrame:
-    """Places (d, t, i) of runs of `lines` lines that occur more than once, with the run's rank and first place.
+def repeated_runs(single: DataFrame, lines: int) -> DataFrame:
+    """Places (d, t, i) of runs of `lines` lines that occur more than once, with the run's rank and first place, from the
+    line_runs.
 
     Prefix doubling: ranks of runs of 1, 2, 4, ... lines, each round from the last. For a length between two powers, the last
     round overlaps its halves. Equal ranks at a length are an interval of the suffix array whose longest common prefix has
     that length or more.
     """
-    now, have = cut(line_runs(docs), "runs"), 1
+    now, have = single, 1
     while have < lines:
         by = min(have, lines - have)
         then = cut(doubled(now, by), "runs")
-        drop_cut(now)
+        if now is not single:
+            drop_cut(now)
         now, have = then, have + by
     return now
 
@@ -92,27 +102,31 @@ def longest_repeats(docs: DataFrame) -> DataFrame:
     return best.groupBy("d").agg(F.max("size").cast("long").alias("lines")).select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "lines")
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, lone_words: int | None = None) -> DataFrame:
     """Per document (d, t) with some, the numbers of lines inside a later copy of a repeated run."""
-    later = repeated_runs(docs, min_lines).filter(F.col("first") < F.struct(*PLACE))
-    covered = later.select(*DOC, F.explode(F.sequence("i", F.col("i") + (min_lines - 1))).alias("i"))
+    single = cut(line_runs(docs), "runs")
+    is_later = F.col("first") < F.struct(*PLACE)
+    covered = repeated_runs(single, min_lines).filter(is_later).select(*DOC, F.explode(F.sequence("i", F.col("i") + (min_lines - 1))).alias("i"))
+    if lone_words is not None:
+        covered = covered.union(single.filter(is_later & (F.col("words") >= lone_words)).select(*DOC, "i"))
     return covered.groupBy(*DOC).agg(F.collect_set("i").alias("gone"))
 
 
 KEPT = [T.StructField("kept_text", T.StringType()), T.StructField("kept_lines", T.LongType()), T.StructField("gone_lines", T.LongType())]
 
 
-def without_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def without_copies(docs: DataFrame, min_lines: int = MIN_LINES, lone_words: int | None = None) -> DataFrame:
     """docs with kept_text (the lines that stay, joined by newlines), kept_lines and gone_lines.
 
-    A run is min_lines or more consecutive lines of one document, compared whole and unchanged. Of a repeated run, the copy
+    A run is min_lines or more consecutive lines of one document, compared whole and unchanged, and with lone_words also one
+    line of so many words or more. Of a repeated run, the copy
     at the smallest (doc_id, line) stays; every line inside a later copy goes, also where copies overlap. Longer repeated runs
     are chains of overlapping runs of min_lines lines, so maximal ones go as a whole. Null text is as empty, which is one
     empty line; a null doc_id comes last; rows with equal id and text are one document and have one result; an empty table
     gives no rows.
     """
     small_batches(docs.sparkSession)
-    gone = later_copies(docs, min_lines)
+    gone = later_copies(docs, min_lines, lone_words)
     both = keyed(docs).join(gone, list(DOC), "left").drop(*DOC)
     schema = T.StructType([*docs.schema.fields, *KEPT])
     names = docs.columns
@@ -132,10 +146,10 @@ def without_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return both.select(*names, "gone").mapInArrow(run, schema)
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, lone_words: int | None = None) -> DataFrame:
     """The columns of docs with later copies of runs deleted from text, and n_chars, if there, to match. Documents of which
     nothing is left are dropped; those that were empty before stay."""
-    out = without_copies(docs, min_lines).filter("kept_lines > 0").withColumn("text", F.when(F.col("gone_lines") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    out = without_copies(docs, min_lines, lone_words).filter("kept_lines > 0").withColumn("text", F.when(F.col("gone_lines") > 0, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("gone_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
