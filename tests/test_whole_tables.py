@@ -1,0 +1,23 @@
+"""Queries that read whole tables, against their SQL without its filters."""
+
+import os
+
+import duckdb
+import pytest
+from test_queries import SF, TABLES, plain
+
+from verdantspark.plans.queries import ORACLES, QUERIES
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+FILTERS = {"tile_semi_join": " where id % 97 = 0"}
+
+
+@pytest.mark.parametrize("name", sorted(FILTERS))
+def test_whole(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    want = con.execute(ORACLES[name].replace(FILTERS[name], ""))
+    names = [c[0] for c in want.description]
+    rows = [tuple(plain(r[c]) for c in names) for r in QUERIES[name](spark, SF).collect()]
+    assert rows and sorted(rows, key=repr) == sorted((tuple(map(plain, r)) for r in want.fetchall()), key=repr)

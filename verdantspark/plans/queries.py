@@ -128,7 +128,7 @@ def web_mercator_tile(spark, d):
 @query(f"with f as (select image_id, x / 50 - 90 as lng, y / 20 - 30 as lat from v_images), t as (select distinct {_TILE.format(x='x')} as tx, {_TILEY.format(y='y')} as ty from v_gvi where id % 97 = 0) select image_id from f where ({_TILE.format(x='lng')}, {_TILEY.format(y='lat')}) in (select (tx, ty) from t)")
 def tile_semi_join(spark, d):
     f = view(spark, d, "v_images").select("image_id", (F.col("x") / 50 - 90).alias("lng"), (F.col("y") / 20 - 30).alias("lat"))
-    p = view(spark, d, "v_gvi").filter("id % 97 = 0").select(F.col("x").alias("lng"), F.col("y").alias("lat"))
+    p = view(spark, d, "v_gvi").select(F.col("x").alias("lng"), F.col("y").alias("lat"))
     return roads.tile_semi_join(f, p, 6).select("image_id")
 
 
