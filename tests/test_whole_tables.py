@@ -9,7 +9,7 @@ from test_queries import SF, TABLES, plain
 from verdantspark.plans.queries import ORACLES, QUERIES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-FILTERS = {"tile_semi_join": " where id % 97 = 0"}
+FILTERS = {"tile_semi_join": " where id % 97 = 0", "ego_graph": " where n % 10 = 0", "isochrone_polygon": " where n % 10 = 0", "csv_union": " where o_orderkey % 7 < 3"}
 
 
 @pytest.mark.parametrize("name", sorted(FILTERS))

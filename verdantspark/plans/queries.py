@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -462,7 +463,7 @@ def gam_partial_dependence(spark, d):
 def _graph(spark, d):
     nodes = view(spark, d, "v_nodes").withColumnRenamed("n", "node")
     edges = network.edges_with_length(view(spark, d, "v_edges").select("u", "v"), nodes)
-    return nodes.filter("node % 10 = 0").select(F.col("node").alias("id"), "node"), nodes, edges
+    return nodes.select(F.col("node").alias("id"), "node"), nodes, edges
 
 
 _EGO = "e as (select distinct u, v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as l, a.x as x0, a.y as y0, b.x as x1, b.y as y1 from v_edges join v_nodes a on u = a.n join v_nodes b on v = b.n), h0 as (select n as id, n as node, 0e0 as d from v_nodes where n % 10 = 0), h1 as (select id, node, min(d) as d from (select * from h0 union all select id, v, d + l from h0 join e on node = u where d + l <= 400) group by 1, 2), h2 as (select id, node, min(d) as d from (select * from h1 union all select id, v, d + l from h1 join e on node = u where d + l <= 400) group by 1, 2), h3 as (select id, node, min(d) as d from (select * from h2 union all select id, v, d + l from h2 join e on node = u where d + l <= 400) group by 1, 2)"
@@ -483,8 +484,8 @@ def isochrone_polygon(spark, d):
 @query("select o_orderkey % 7 as file, cast(o_orderkey as varchar) as id from orders where o_orderkey % 7 < 3")
 def csv_union(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
-    parts = [o.filter(F.col("o_orderkey") % 7 == k).select((F.col("o_orderkey") % 7).alias("file"), F.col("o_orderkey").cast("string").alias("id")) for k in range(3)]
-    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    parts = [o.filter(F.col("o_orderkey") % 7 == k).select((F.col("o_orderkey") % 7).alias("file"), F.col("o_orderkey").cast("string").alias("id")) for k in range(7)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 __all__ = ["ORACLES", "QUERIES", "VIEWS"]
