@@ -81,20 +81,20 @@ def shingle_hashes(texts: pa.Array, k: int, seed: int = 42) -> list[np.ndarray]:
     return out
 
 
-def set_fingerprints(texts: pa.Array, k: int, seed: int = 42) -> np.ndarray:
-    """Per text, PARTS columns of 64 bits, SimHashes of its set of shingles, each from hashes that are mixed anew, and the set's
+def set_fingerprints(texts: pa.Array, k: int, parts: int, seed: int = 42) -> np.ndarray:
+    """Per text, `parts` columns of 64 bits, SimHashes of its set of shingles, each from hashes that are mixed anew, and the set's
     own hash. Repeats don't count; without shingles, the bits are zero."""
     from xxhash import xxh64_intdigest
 
     sets = shingle_hashes(texts, k, seed)
-    out = np.zeros((PARTS + 1, len(sets)), U64)
+    out = np.zeros((parts + 1, len(sets)), U64)
     size = np.array([len(x) for x in sets], np.int64)
     some = np.flatnonzero(size)
     if len(some):
         h, first = np.concatenate(sets), np.cumsum(size[some]) - size[some]
-        for part in range(PARTS):
+        for part in range(parts):
             out[part, some] = bit_majority(mix(h ^ U64(part * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if part else h, first)
-    out[PARTS] = [xxh64_intdigest(x.tobytes(), seed) for x in sets]
+    out[parts] = [xxh64_intdigest(x.tobytes(), seed) for x in sets]
     return out.T
 
 
@@ -163,16 +163,16 @@ def chain_links(key: np.ndarray, turned: np.ndarray, budget: list[tuple[np.uint6
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def by_key(links):
-    """A function of batches sorted by (start, key) that calls `links` with whole keys only."""
+def by_key(links, names: tuple[str, ...] = ("start", "key")):
+    """A function of batches sorted by the columns `names` that calls `links` with whole keys only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:  # the last key of a batch may go on in the next
             if batch.num_rows:
-                before, last = last, (batch["start"][-1].as_py(), batch["key"][-1].as_py())
-                first_of_last = int(np.argmax((batch["start"].to_numpy() == last[0]) & (batch["key"].to_numpy() == last[1])))
+                before, last = last, tuple(batch[c][-1].as_py() for c in names)
+                first_of_last = int(np.argmax(np.logical_and.reduce([batch[c].to_numpy() == x for c, x in zip(names, last, strict=True)])))
                 if first_of_last or last != before:
                     held.append(batch.slice(0, first_of_last))
                     yield from links(pa.Table.from_batches(held))
@@ -244,22 +244,33 @@ def simhash_components(docs: DataFrame, k: int = 5, distance: int = 4, seed: int
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: 64-bit parts of a wide fingerprint; their segments, five each, form the ring.
-PARTS = 8
-#: Segments of a chain that are checked one by one before the whole counts.
+#: Segments of a chain that are checked one by one.
 CHAIN = 8
-#: Rows of a key that are compared all with all; more are searched, see wide_links.
+#: Rows that a key has by chance, at most; segments are as long as that takes.
+KEY_ROWS = 256
+#: Rows of a key that are compared all with all; more are searched, with the same pairs in the end. See chain_groups.
 COMPARED = 4096
+#: Rows of a key that one task compares; a longer key is cut into blocks, which meet pair by pair.
+BLOCK_ROWS = 50_000
+#: Texts of a block of a candidate group.
+BLOCK_TEXTS = 512
 
 
-def bits_for(similarity: float, deviations: float = 2.5) -> tuple[int, int]:
-    """Differing bits of wide fingerprints up to which a pair is taken as alike, and beyond which as not, for a Jaccard
-    similarity of texts of one length. Shingle counts then have the cosine 2 s / (1 + s), and each bit differs with the angle's
-    share of a half turn; the bounds lie so many standard deviations below and above the expected number."""
+def ring_of(texts: int) -> tuple[int, int]:
+    """Segments of a 64-bit part, and parts of a wide fingerprint, for so many texts: a longer segment is rarer by chance, but
+    also rarer equal in near copies, so there are more. Of similarity 0.8, over 99 % have an equal segment in each case."""
+    for per, parts in ((5, 8), (4, 16)):
+        if texts <= KEY_ROWS << 64 // per:
+            return per, parts
+    return 3, 52
+
+
+def bits_for(similarity: float, bits: int, deviations: float = 3.0) -> int:
+    """Differing bits of wide fingerprints beyond which a pair is not a candidate. Jaccard similarity s of sets of one size is
+    the cosine 2 s / (1 + s); each bit differs with the angle's share of a half turn; the bound is so many standard deviations
+    above the expected number."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = BITS * PARTS
-    mean, spread = bits * share, deviations * np.sqrt(bits * share * (1 - share))
-    return max(0, int(mean - spread)), int(mean + spread)
+    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -276,168 +287,229 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = least
 
 
-def wide_links(classes: DataFrame, at_most: int) -> DataFrame:
-    """Edges (a, b) between ids of wide fingerprints (id, f0, f1, ...), enough to connect all candidate pairs: those that differ
-    in at most `at_most` bits. A group of like texts never gives all its pairs; which of its texts are near copies is for
-    similar_groups to say.
+def chain_groups(group: np.ndarray, v: np.ndarray, chain: list[tuple[int, np.uint64, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that connect all those pairs of one run of `group` whose chains keep within their budgets.
 
-    Candidates share one of the ring's segments exactly. From it on, chains of up to CHAIN segments have to keep within their
-    share of at_most (the pigeonring's condition, with the equal segment as its start) before the whole counts. Near copies
-    have several equal segments, so that a pair is missed only if all their chains fail; README has the measured recall. A key
-    of more than COMPARED rows is searched from row to row, and what has been reached isn't compared again.
+    v has the words that a chain reads, a row each; chain has, per segment, its word, its mask and the bits that may differ so
+    far. Short runs are compared in full, all runs at a time. A long one is searched from row to row: what has been reached
+    hangs together already and isn't compared again. Which rows hang together is the same either way.
     """
-    columns = [f"f{p}" for p in range(PARTS)]
-    ring = [(p, at, width) for p in range(PARTS) for at, width in segments(5)]
-    keys = [F.struct(F.lit(s).alias("start"), F.shiftrightunsigned(F.col(f"f{p}"), at).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for s, (p, at, width) in enumerate(ring)]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(first, len(group)))
+    left_in_run = np.repeat(first + size, size) - np.arange(len(group))
+    compared = np.repeat(size <= COMPARED, size)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def within(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = np.zeros(len(i), np.int64)
+        for word, mask, most in chain:
+            total += np.bitwise_count((v[i, word] ^ v[j, word]) & mask)
+            ok = total <= most
+            i, j, total = i[ok], j[ok], total[ok]
+            if not len(i):
+                break
+        return i, j
+
+    for lag in range(1, int(size[size <= COMPARED].max(initial=0))):
+        i = np.flatnonzero((left_in_run > lag) & compared)
+        if not len(i):
+            break
+        i, j = within(i, i + lag)
+        left.append(i)
+        right.append(j)
+    for r in np.flatnonzero(size > COMPARED):
+        rest = np.arange(first[r], first[r] + size[r])
+        while len(rest):
+            todo, rest = [int(rest[0])], rest[1:]
+            while todo and len(rest):
+                at = todo.pop()
+                near, _ = within(rest, np.full(len(rest), at))
+                if len(near):
+                    left.append(np.full(len(near), at))
+                    right.append(near)
+                    todo += near.tolist()
+                    rest = np.setdiff1d(rest, near, assume_unique=True)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def wide_links(classes: DataFrame, per: int, parts: int, at_most: int) -> DataFrame:
+    """Edges (a, b) between ids of wide fingerprints (id, f0, f1, ...), enough to connect all candidate pairs.
+
+    Candidates share one of the ring's segments exactly, and from it on chains of up to CHAIN segments keep within their share
+    of at_most differing bits: the pigeonring's condition, with the equal segment as the chain's start. A pair is missed only
+    if this fails for each of its equal segments, of which near copies have several; README has the measured recall. Rows carry
+    only the words that their chain reads. A key of very many rows, found in a sample of ids, is cut into blocks that meet pair
+    by pair; where it is cut changes the tasks, not the pairs. Candidates only say what similar_groups compares.
+    """
+    ring = [(p, at, width) for p in range(parts) for at, width in segments(per)]
+    span = 1 + -(-(CHAIN - 1) // per)
+    words = [f"w{i}" for i in range(span)]
+    keys, chains = [], []
+    for s, (p, at, width) in enumerate(ring):
+        own = [F.col(f"f{(p + i) % parts}").alias(w) for i, w in enumerate(words)]
+        keys.append(F.struct(F.lit(s).cast("long").alias("start"), F.shiftrightunsigned(F.col(f"f{p}"), at).bitwiseAND(F.lit((1 << width) - 1)).alias("key"), *own))
+        chain = []
+        for step in range(1, CHAIN):
+            q, b, w = ring[(s + step) % len(ring)]
+            chain.append(((q - p) % parts, U64(((1 << w) - 1) << b), (step + 1) * at_most // len(ring)))
+        chains.append(chain)
+    rows = classes.select("id", F.explode(F.array(*keys)).alias("k")).select("k.*", "id")
+    sampled = rows.filter(F.pmod(F.xxhash64("id"), F.lit(64)) == 0).groupBy("start", "key").count().filter(F.col("count") * 64 > BLOCK_ROWS)
+    hot = cut(sampled.select("start", "key", F.ceil(F.col("count") * 64 / BLOCK_ROWS).alias("n")), "hot-keys")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("n"))
+    meets = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda x: F.least(x, own) * (1 << 31) + F.greatest(x, own)))
+    rows = rows.join(hot, ["start", "key"], "left").withColumn("pair", F.explode(meets)).drop("n")
 
     def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        start, key, ids = (table[c].to_numpy() for c in ("start", "key", "id"))
-        values = np.column_stack([table[c].to_numpy().view(U64) for c in columns])
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        start, key, ids, pair = (table[c].to_numpy() for c in ("start", "key", "id", "pair"))
+        if not len(ids):
+            return
+        values = np.column_stack([table[c].to_numpy().view(U64) for c in words])
+        run = np.cumsum(np.concatenate([[0], (start[1:] != start[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]))
+        left, right = [], []
         for s in np.unique(start).tolist():
-            rows = np.flatnonzero(start == s)
-            k, v = key[rows], values[rows]
-            new = np.concatenate([[True], k[1:] != k[:-1]])
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(k)))
-            left_in_run = np.repeat(first + size, size) - np.arange(len(k))
-            compared = np.repeat(size <= COMPARED, size)
-            for lag in range(1, int(min(size.max(), COMPARED))):
-                i = np.flatnonzero((left_in_run > lag) & compared)
-                if not len(i):
-                    break
-                total = np.zeros(len(i), np.int64)
-                for step in range(1, CHAIN):
-                    p, at, width = ring[(s + step) % len(ring)]
-                    total += np.bitwise_count((v[i, p] ^ v[i + lag, p]) & U64(((1 << width) - 1) << at))
-                    ok = total <= (step + 1) * at_most // len(ring)
-                    i, total = i[ok], total[ok]
-                    if not len(i):
-                        break
-                i = i[np.bitwise_count(v[i] ^ v[i + lag]).sum(1) <= at_most] if len(i) else i
-                left.append(rows[i])
-                right.append(rows[i + lag])
-            for r in np.flatnonzero(size > COMPARED):
-                todo, rest = [], rows[first[r] : first[r] + size[r]]
-                while len(rest):
-                    at_ = todo.pop() if todo else None
-                    if at_ is None:
-                        at_, rest = rest[0], rest[1:]
-                    near = np.bitwise_count(values[rest] ^ values[at_]).sum(1) <= at_most
-                    left.append(np.full(near.sum(), at_))
-                    right.append(rest[near])
-                    todo += rest[near].tolist()
-                    rest = rest[~near]
+            at = np.flatnonzero(start == s)
+            a, b = chain_groups(run[at], values[at], chains[s])
+            left.append(at[a])
+            right.append(at[b])
         root = roots(len(ids), np.concatenate(left), np.concatenate(right))
         x, y = ids, ids[root]
         apart = x != y
         if apart.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[apart]), pa.array(np.maximum(x, y)[apart])], names=["a", "b"])
 
-    rows = classes.select("id", *columns, F.explode(F.array(*keys)).alias("k")).select("k.start", "k.key", "id", *columns)
-    return rows.repartition("start", "key").sortWithinPartitions("start", "key", "id").mapInArrow(by_key(links), "a long, b long").distinct()
+    return rows.repartition("start", "key", "pair").sortWithinPartitions("start", "key", "pair", "id").mapInArrow(by_key(links, ("start", "key", "pair")), "a long, b long").distinct()
+
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets without repeats; empty sets are alike."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
 
-def linked_sets(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Per row, the least id connected with it by pairs of sets whose Jaccard similarity is at least `similarity`; rows of one
-    id are connected. Sets are of distinct values.
 
-    A search from each row in turn compares it with all rows that haven't been reached and whose sizes allow the similarity, by
-    exact counts; a row that has been reached hangs together with the search's rows already, so no pair that matters is left out.
+def block_links(ids: np.ndarray, sets: list[np.ndarray], linked: np.ndarray, asks: np.ndarray, first: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges between ids that connect all pairs, of a row that asks and one that doesn't, whose sets have the similarity.
+
+    Rows that are linked hang on `first` already; the others occur on both sides, and the smaller id asks. Each asking row is
+    compared, by exact counts, with the rows of fitting size that don't hang together with it yet.
     """
+    names, node = np.unique(np.append(np.where(linked, first, ids), first), return_inverse=True)
+    node = node[:-1]
+    group = np.arange(len(names))
     size = np.array([len(x) for x in sets], np.int64)
-    order = np.lexsort((ids, size))  # rows whose sizes allow the similarity are a stretch
-    size = size[order]
-    at = np.concatenate([[0], np.cumsum(size)])
-    names, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-    group, mark = np.arange(len(ids)), np.zeros(len(names), bool)
-    rest = np.arange(len(ids))
-    while len(rest):
-        first, rest = rest[0], rest[1:]
-        todo = [first]
-        while todo and len(rest):
-            row = todo.pop()
-            own = flat[at[row] : at[row + 1]]
-            a, b = np.searchsorted(size[rest], (np.ceil(similarity * size[row] - 1e-9), np.floor(size[row] / similarity + 1e-9) + 0.5))
-            some = rest[a:b]
-            n = size[some]
-            ends = np.cumsum(n)
-            mark[own] = True
-            hits = np.concatenate([[0], np.cumsum(mark[flat[np.arange(n.sum()) + np.repeat(at[some] - (ends - n), n)]])])
-            mark[own] = False
-            shared = hits[ends] - hits[ends - n]
-            near = shared >= similarity * (n + size[row] - shared)
-            if near.any():
-                got = some[near]
-                group[got] = first
-                todo += got.tolist()
-                rest = np.delete(rest, a + np.flatnonzero(near))
-    named = ids[order]
-    _, same = np.unique(named, return_inverse=True)
-    once = np.full(same.max() + 1, len(ids)) if len(ids) else same
-    np.minimum.at(once, same, np.arange(len(ids)))
-    group = roots(len(ids), np.concatenate([np.arange(len(ids))] * 2), np.concatenate([group, once[same]]))
-    least = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(least, group, named)
-    out = np.empty(len(ids), np.int64)
-    out[order] = least[group]
+    others = np.flatnonzero(~asks)
+    others = others[np.argsort(size[others], kind="stable")]
+    n = size[others]
+    flat = np.concatenate([np.zeros(0, U64), *(sets[i] for i in others)])
+    known, flat = np.unique(flat, return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(n)])
+    mark, out = np.zeros(len(known), bool), []
+    for i in np.flatnonzero(asks).tolist():
+        low, high = np.searchsorted(n, (np.ceil(similarity * size[i] - 1e-9), np.floor(size[i] / similarity + 1e-9) + 0.5))
+        some = np.arange(low, high)
+        some = some[(group[node[others[some]]] != group[node[i]]) & (linked[others[some]] | (ids[others[some]] > ids[i]))]
+        if not len(some) or not len(known):
+            continue
+        place = np.searchsorted(known, sets[i])
+        own = place[known[np.minimum(place, len(known) - 1)] == sets[i]]
+        mark[own] = True
+        m = n[some]
+        ends = np.cumsum(m)
+        hits = np.concatenate([[0], np.cumsum(mark[flat[np.arange(m.sum()) + np.repeat(at[some] - (ends - m), m)]])])
+        mark[own] = False
+        shared = hits[ends] - hits[ends - m]
+        for j in others[some[shared >= similarity * (m + size[i] - shared)]].tolist():
+            if group[node[i]] != group[node[j]]:
+                out.append((int(names[node[i]]), int(names[node[j]])))
+                group[group == group[node[j]]] = group[node[i]]
     return out
 
 
 def similar_groups(candidates: DataFrame, docs: DataFrame, k: int, similarity: float, seed: int = 42) -> DataFrame:
     """node and component, the smallest id connected with it by pairs whose sets of k-word shingles have a Jaccard similarity of
-    at least `similarity`, for candidates (node, component). Every pair of a candidate component counts, see linked_sets; a
-    component's sets meet in one task."""
+    at least `similarity`, for candidates (node, component). Every pair of a candidate component counts.
+
+    First each set is compared with that of its component's first document, by an equi-join. Rows that aren't as similar are
+    then compared with all rows of their component, in blocks of BLOCK_TEXTS rows that meet pair by pair in a task each, so
+    that no task holds a component. Only enough edges to connect what is similar leave a task.
+    """
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 out = [h.tobytes() for h in shingle_hashes(part.column("text"), k, seed)]
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(out, pa.binary())], names=["key", "id", "shingles"])
 
+    def values(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+        return [np.frombuffer(x, U64) if x else np.zeros(0, U64) for x in column.to_pylist()]
+
+    def against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [jaccard(x, y) >= similarity for x, y in zip(values(b["shingles"]), values(b["other"]), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["key"], b["id"], pa.array(near, pa.bool_())], names=["key", "id", "linked"])
+
     def check(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, ids = table["key"].to_numpy(), table["id"].to_numpy()
-        found = [np.frombuffer(x.as_buffer(), U64) if x.as_buffer().size else np.zeros(0, U64) for x in table["shingles"]]
-        edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else []
+        key, pair, ids = (table[c].to_numpy() for c in ("key", "pair", "id"))
+        linked, asks = (np.array(table[c].to_pylist(), bool) for c in ("linked", "asks"))
+        found, out = values(table["shingles"]), []
+        edges = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))), len(key)) if len(key) else []
         for a, b in zip(edges, edges[1:], strict=False):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(linked_sets(ids[a:b], found[a:b], similarity))], names=["node", "component"])
+            out += block_links(ids[a:b], found[a:b], linked[a:b], asks[a:b], int(key[a]), similarity)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
     of = candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("key"))
-    known = documents(docs).join(of, "doc_id").select("key", "doc_id", "text").mapInArrow(sets, "key long, id long, shingles binary")
-    rows = known.withColumn("start", F.lit(0)).repartition("key").sortWithinPartitions("key", "id")
-    return rows.mapInArrow(by_key(check), "node long, component long").distinct()
+    known = documents(docs).join(of, "doc_id").select("key", "doc_id", "text")
+    sets = cut(known.mapInArrow(sets_of, "key long, id long, shingles binary"), "sets")
+    first = sets.filter("id = key").select("key", F.col("shingles").alias("other"))
+    near = sets.join(first, "key").mapInArrow(against_first, "key long, id long, linked boolean")
+    judged = cut(near.groupBy("key", "id").agg(F.max("linked").alias("linked")), "judged")
+    counts = judged.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("loose")).filter("loose > 0")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_TEXTS)
+    open_ = judged.join(counts.select("key", blocks("n").alias("nr"), blocks("loose").alias("nl")), "key")
+    rows = sets.join(open_, ["key", "id"])
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    left = rows.filter(~F.col("linked")).withColumn("l", own("nl")).withColumn("r", up_to("nr")).withColumn("asks", F.lit(True))
+    right = rows.withColumn("r", own("nr")).withColumn("l", up_to("nl")).withColumn("asks", F.lit(False))
+    met = left.unionByName(right).select("key", (F.col("l") * (1 << 31) + F.col("r")).alias("pair"), "id", "linked", "asks", "shingles")
+    more = met.repartition("key", "pair").sortWithinPartitions("key", "pair", "id").mapInArrow(by_key(check, ("key", "pair")), "a long, b long")
+    return connected_components(judged.filter("linked and id > key").select(F.col("id").alias("a"), F.col("key").alias("b")).union(more))
 
 
 def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """doc_id and component_id (its group's smallest) of documents that aren't the first of their group of near copies.
 
-    Fingerprints are of PARTS * 64 bits of the sets of shingles; documents with one set meet before anything is compared.
-    Fingerprints, also equal ones, only say which documents are candidates; those link whose exact similarity is enough (see
-    similar_groups). Rows without an id take no part; rows that repeat an id are one document.
+    Wide fingerprints are SimHashes of the sets of shingles, as long as the number of documents takes (see ring_of); documents
+    with one set meet before anything is compared. Fingerprints, also equal ones, only say which documents are candidates;
+    those link whose exact similarity is enough (see similar_groups). Texts without a word are alike. Rows without an id take
+    no part; rows that repeat an id are one document; an empty table gives no rows.
     """
+    docs = docs.filter("doc_id is not null")
+    per, parts = ring_of(docs.count())
+    columns = [f"f{p}" for p in range(parts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                fp = set_fingerprints(part.column("text"), k, seed).view(np.int64)
+                fp = set_fingerprints(part.column("text"), k, parts, seed).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(x)) for x in fp.T)], names=["doc_id", *columns, "shingles"])
 
-    columns = [f"f{p}" for p in range(PARTS)]
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in (*columns, "shingles"))
-    docs = docs.filter("doc_id is not null")
+    same_set = ["shingles", *columns[:2]]  # 192 bits
     prints = cut(documents(docs).mapInArrow(run, schema), "fingerprints", narrow=True)
-    texts = cut(prints.groupBy(*columns, "shingles").agg(F.min("doc_id").alias("id")), "texts")
+    texts = cut(prints.groupBy(*same_set).agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in columns[2:])), "texts")
     classes = cut(texts.groupBy(*columns).agg(F.min("id").alias("id")), "classes")
-    found = wide_links(classes, bits_for(similarity)[1])
+    found = wide_links(classes, per, parts, bits_for(similarity, BITS * parts))
     same = texts.join(classes.withColumnRenamed("id", "b"), columns).select(F.col("id").alias("a"), "b").filter("a > b")
     candidates = cut(connected_components(found.union(same)), "candidates")
-    comps = cut(similar_groups(candidates, docs, k, similarity, seed), "groups").withColumnRenamed("node", "id")
-    of = texts.join(comps, "id", "left").select(*columns, "shingles", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(of, [*columns, "shingles"]).filter("component_id < doc_id").select("doc_id", "component_id").distinct()
+    comps = similar_groups(candidates, docs, k, similarity, seed).withColumnRenamed("node", "id")
+    of = texts.select("id", *same_set).join(comps, "id", "left").select(*same_set, F.coalesce("component", "id").alias("component_id"))
+    return prints.select("doc_id", *same_set).join(of, same_set).filter("component_id < doc_id").select("doc_id", "component_id").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """The columns and rows of docs without those that near_copies finds. Rows that repeat a doc_id stay or go together; rows
-    without one stay."""
-    gone = near_copies(docs, k, similarity).select("doc_id").distinct()
+    without one stay. Which go is a written table of ids, so that Spark knows its size before it plans the join."""
+    gone = cut(near_copies(docs, k, similarity).select("doc_id").distinct(), "near-copies", narrow=True)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
