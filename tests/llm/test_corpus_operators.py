@@ -107,10 +107,45 @@ def test_line_dedup(docs, rows, m):
     assert got == plain_lines(rows, m)
 
 
-def test_longest_repeats(spark):
-    texts = ["a\nb\nc\nd\ne", "x\nb\nc\nd\ny", "q\nq\nq", "u\nv"]
-    got = {r.doc_id: r.lines for r in linededup.longest_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got == {0: 3, 1: 3, 2: 2}
+def copied_runs(rows, m):
+    """{(doc, line): (source doc, source line, lines)} of maximal copied runs."""
+    lines = {i: (t or "").split("\n") for i, t in rows}
+    first, source = {}, {}
+    for i in sorted(lines):
+        for k in range(len(lines[i]) - m + 1):
+            run = tuple(lines[i][k : k + m])
+            if first.setdefault(run, (i, k)) != (i, k):
+                source[i, k] = first[run]
+    out = {}
+    for (i, k), (a, b) in source.items():
+        if source.get((i, k - 1)) != (a, b - 1):
+            n = 0
+            while k + n < len(lines[i]) and b + n < len(lines[a]) and lines[i][k + n] == lines[a][b + n]:
+                n += 1
+            out[i, k] = (a, b, n)
+    return out
+
+
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_copied_runs(docs, rows, m):
+    got = {(r.d, r.i): (r.fd, r.fi, r.lines) for r in linededup.Suffixes(docs).copied_runs(m).collect()}
+    assert got == copied_runs(rows, m) and len(got) > 2
+
+
+def test_a_run_of_five_is_one_interval(spark):
+    texts = ["a\nb\nc\nd\ne\nf", "x\nb\nc\nd\ne\nf\ny", "q\nq\nq", "u\nv"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.d, r.i): (r.fd, r.fi, r.lines) for r in linededup.Suffixes(df).copied_runs().collect()}
+    assert got == {(1, 1): (0, 1, 5), (2, 1): (2, 0, 2)}
+    assert {r.doc_id: r.lines for r in linededup.longest_repeats(df).collect()} == {1: 5, 2: 2}
+
+
+def test_line_dedup_carries_any_column(spark):
+    names = ["d", "t", "i", "r", "gone", "_gone", "kept_text", "Kept_Lines", "gone_lines", "n", "first"]
+    df = spark.createDataFrame([(1, "a\nb", *range(11)), (2, "a\nb\nc", *range(11)), (2, "a\nb\nc", *range(11)), (None, None, *range(11))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = linededup.drop_repeated_lines(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 9, r.text or "", r.gone) for r in out.collect()) == [(1, "a\nb", 4), (2, "c", 4), (2, "c", 4), (9, "", 4)]
 
 
 def test_line_dedup_stage(docs, rows):

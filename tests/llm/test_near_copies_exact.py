@@ -82,7 +82,7 @@ def large_group():
     return texts, groups(texts)
 
 
-@pytest.mark.parametrize("partitions", [1, 8, 64])
+@pytest.mark.parametrize("partitions", [1, 13])
 def test_large_group(spark, large_group, partitions):
     texts, want = large_group
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -105,9 +105,8 @@ def test_blocks_give_the_same(spark, monkeypatch, large_group):
     assert {(r.doc_id, r.component_id) for r in simhash.near_copies(df).collect()} == want
 
 
-@pytest.mark.parametrize("ring", [(4, 16), (3, 52)])
-def test_longer_segments(spark, monkeypatch, family, ring):
-    monkeypatch.setattr(simhash, "ring_of", lambda _: ring)
+def test_longer_segments(spark, monkeypatch, family):
+    monkeypatch.setattr(simhash, "ring_of", lambda _: (4, 16))
     df = spark.createDataFrame(list(enumerate(family)), "doc_id long, text string")
     found = {(r.doc_id, r.component_id) for r in simhash.near_copies(df).collect()}
     want = {(2 * i + 1, 2 * i) for i in range(150)}

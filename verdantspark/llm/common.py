@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session whose executors are the
+    driver itself (tests) gets a new one; any other raises, as a folder of one machine would not be shared."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="verdantspark-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -54,6 +58,17 @@ def cut(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return out
 
 
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores in front until none is taken, whatever its case."""
+    known, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in known:
+            n = f"_{n}"
+        known.add(n.lower())
+        out.append(n)
+    return out
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table written by cut(), once nothing reads it any more."""
     path = getattr(df, "_cut_path", None)
