@@ -322,6 +322,23 @@ def test_ann(spark, monkeypatch):
     assert ann.search(few, few.filter("vec_id = 0")).count() == 4
 
 
+def test_ann_of_huge_tiny_and_ragged_vectors(spark):
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.normal(size=8).tolist() for i in range(400)}
+    vectors |= {500: [1e300] * 8, 501: [-1.5e308] + [0.0] * 7, 502: [1e-200] * 8, 600: [1.5e308] * 8, 503: [1.0] * 5, 504: [2.0], 700: [], 701: [1e-310] * 8}
+    df = spark.createDataFrame(list(vectors.items()) + [(1, vectors[1])], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, df.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {0, 100, 200, 300, 500, 600} and all(len(v) == 10 for v in got.values())
+    assert all(v not in (503, 504, 700) for rows in got.values() for v, _ in rows)
+    assert abs(got[500][0][1] / (1e300 * 8**0.5) - 1) < 1e-12
+    full = np.array([vectors[i] for i in range(400)])
+    for q in (0, 100, 200, 300):
+        d = np.sqrt(((full - full[q]) ** 2).sum(1))
+        assert {v for v, _ in got[q]} <= {*range(400), 502, 701} and len({v for v, _ in got[q]} & set(np.argsort(d, kind="stable")[1:11].tolist())) >= 7
+
+
 def test_quality(spark, docs, labels, rows):
     rng = np.random.default_rng(2)
     good = [(i, "The river runs past the old stone house. " * int(rng.integers(2, 9)), "a", "x") for i in range(300)]

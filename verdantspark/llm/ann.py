@@ -10,17 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Vectors on which centroids and codebooks are fitted, at most; every vector is indexed.
 SAMPLE = 16_384
 #: Coarse lists, at most; otherwise the square root of the number of vectors.
 LISTS = 4_096
-#: Share of the lists that a query probes, and lists that it probes at least. Vectors that hardly cluster need many.
-PROBE, LEAST_LISTS = 0.6, 40
+#: Share of the true neighbours in the sample that must lie in the lists that a query probes; how many lists that takes is
+#: measured on so many of the sample's vectors.
+REACH, TRIED = 0.97, 256
 #: Candidates a query's exact ranking gets.
 KEEP = 300
-#: Rows of a list, and queries of a list, that one task compares; longer lists are cut into blocks.
-BLOCK, QUERY_BLOCK = 100_000, 20_000
+#: Rows that one task compares at most; longer lists are cut into blocks.
+BLOCK = 100_000
+#: Queries that one task holds at a time.
+QUERY_BLOCK = 50_000
 CODEWORDS = 256
+#: Components beyond this are scaled down for the index, vector by vector, so that squares stay finite; scores aren't.
+LARGEST = 1e100
 
 
 def valid(vector: str = "embedding"):
@@ -31,8 +38,26 @@ def valid(vector: str = "embedding"):
 
 
 def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors as the index sees them, in double precision."""
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, -1)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+    top = np.abs(x).max(1, initial=0)
+    return x / np.maximum(top / LARGEST, 1)[:, None]
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to q; where squares would leave the range of doubles, differences are scaled first."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        rest = x - q
+        d = np.sqrt((rest**2).sum(1))
+        top = np.abs(rest).max(1, initial=0)
+        odd = (top > 1e150) | ((top < 1e-150) & (top > 0))
+        if odd.any():
+            half = np.where(np.isfinite(top[odd]), 1.0, 0.5)[:, None]  # a difference of two finite values may not be finite
+            near = x[odd] * half - q * half
+            most = np.abs(near).max(1)
+            d[odd] = most * np.sqrt(((near / most[:, None]) ** 2).sum(1)) / half[:, 0]
+    return d
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -75,34 +100,73 @@ class Model:
     def tables(self, q: np.ndarray, which: int) -> np.ndarray:
         """Squared distances of the queries' residuals to every codeword: queries x parts x codewords."""
         rest = q - self.centers[which]
-        out = np.full((len(q), len(self.books), CODEWORDS), np.inf, np.float32)
+        out = np.full((len(q), len(self.books), CODEWORDS), np.inf)
         for m, (a, b, book) in enumerate(zip(self.edges, self.edges[1:], self.books, strict=False)):
             part = rest[:, a:b]
             out[:, m, : len(book)] = np.maximum((part**2).sum(1)[:, None] - 2 * part @ book.T + (book**2).sum(1), 0)
         return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, parts: int | None = None, probe: float = PROBE, keep: int = KEEP) -> DataFrame:
+def lists_needed(model: Model, x: np.ndarray, k: int) -> int:
+    """Lists in order of nearness that hold the share REACH of the k true neighbours, among the sample x, of TRIED of its rows."""
+    own = nearest(x, model.centers)
+    pick = np.unique(np.linspace(0, len(x) - 1, min(TRIED, len(x))).astype(int))
+    ranks = []
+    for i in pick.tolist():
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        near = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
+        order = np.argsort((model.centers**2).sum(1) - 2 * (model.centers @ x[i]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ranks += place[own[near]].tolist()
+    return int(np.quantile(ranks, REACH, method="higher")) + 1 if ranks else len(model.centers)
+
+
+def bins_of(size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per list its first bin and its number of bins, for about n bins of like size: short lists share one, in order; a list of
+    more than BLOCK rows is cut over bins of its own."""
+    most = max(1, min(BLOCK, -(-int(size.sum()) // max(n, 1))))
+    first, count, now, held = np.zeros(len(size), np.int64), np.ones(len(size), np.int64), 0, 0
+    for i, rows in enumerate(size.tolist()):
+        if held and held + rows > most:
+            now, held = now + 1, 0
+        first[i] = now
+        if rows > BLOCK:
+            count[i] = -(-rows // BLOCK)
+            now, held = now + int(count[i]), 0
+        else:
+            held += rows
+    return first, count
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, parts: int | None = None, probe: float | None = None, keep: int = KEEP) -> DataFrame:
     """query_id, rank, vec_id and score: for each query (vec_id, embedding) its k nearest found of vectors, by Euclidean
     distance in double precision, nearest first, ties to the smaller vec_id; never the row with the query's own id.
 
-    Centroids and codebooks are fitted on at most SAMPLE vectors, taken by the hash of their id; all vectors are indexed.
-    A query probes its nearest lists, `probe` of them and LEAST_LISTS at least, and more until they hold 10 k vectors. Lists
-    are cut into blocks by their counted size, so a list with very many rows, or queries, is several tasks. Per block and
-    query, asymmetric table distances pick `keep` candidates; the best `keep` of a query are ranked on the original vectors.
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids. Rows that repeat an id
-    are candidates each. Vectors must have one length; an empty table gives no rows.
+    Centroids and codebooks are fitted on at most SAMPLE vectors, taken by the hash of their id; all vectors are indexed. A
+    query probes the nearest lists, as many as the sample says hold the share REACH of true neighbours (or the share `probe` of
+    the lists), and more until they hold 10 k vectors. Lists are gathered into bins of like size; one with very many rows is
+    cut over several. A query's vector goes once to each bin that it probes. Per bin and query, asymmetric table distances pick
+    `keep` candidates; the best `keep` of a query are ranked on the original vectors.
+
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids, nor vectors of another
+    length than most have (of two lengths equally frequent, the smaller). Components of any finite size have finite scores as
+    long as the distance is a double. Rows that repeat an id are candidates each; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     known = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & valid())
-    asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("query_id").isNotNull() & valid())
-    sample = known.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
-    if not len(sample):
+    most = known.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = matrix(sample)
-    total = known.count() if len(x) == SAMPLE else len(x)
+    total = most["count"]
+    known = known.filter(F.size("embedding") == most.n)
+    asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("query_id").isNotNull() & valid() & (F.size("embedding") == most.n))
+    x = matrix(known.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks())
     lists = lists or int(min(LISTS, len(x), max(1, round(total**0.5))))
-    sent = spark.sparkContext.broadcast(Model.fit(x, lists, parts or max(1, x.shape[1] // 2)))
+    model = Model.fit(x, lists, parts or max(1, x.shape[1] // 2))
+    least = int(np.ceil(probe * len(model.centers))) if probe else lists_needed(model, x, k)
+    sent = spark.sparkContext.broadcast(model)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,57 +174,80 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | Non
                 own, codes = sent.value.encode(matrix(b["embedding"]))
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b["vec_id"], pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "vec_id", "code"])
 
-    coded = known.mapInArrow(code, "list int, vec_id long, code binary")
+    coded = cut(known.mapInArrow(code, "list int, vec_id long, code binary"), "codes", narrow=True)
     sizes = coded.groupBy("list").count().toArrow()  # one row a list, LISTS at most
-    size = np.zeros(len(sent.value.centers), np.int64)
+    size = np.zeros(len(model.centers), np.int64)
     size[sizes["list"].to_numpy()] = sizes["count"].to_numpy()
+    first, count = bins_of(size, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers = sent.value.centers
-        least = min(len(centers), max(LEAST_LISTS, int(np.ceil(probe * len(centers)))))
         for b in batches:
             if b.num_rows:
                 q = matrix(b["embedding"])
                 order = np.argsort((centers**2).sum(1) - 2 * (q @ centers.T), axis=1)
-                enough = np.cumsum(size[order], axis=1) - size[order] < 10 * k + 1
-                take = enough | (np.arange(len(centers)) < least)
+                take = np.cumsum(size[order], axis=1) - size[order] < 10 * k + 1
+                take |= np.arange(len(centers)) < least
                 take &= size[order] > 0
-                row, col = np.nonzero(take)
-                yield pa.RecordBatch.from_arrays([pa.array(order[row, col].astype(np.int32)), b["query_id"].take(pa.array(row)), b["embedding"].take(pa.array(row))], names=["list", "query_id", "embedding"])
-
-    probed = asked.mapInArrow(probes, "list int, query_id long, embedding array<double>")
-    n_asked = probed.groupBy("list").count().toArrow()
-    asks = np.zeros(len(size), np.int64)
-    asks[n_asked["list"].to_numpy()] = n_asked["count"].to_numpy()
-    blocks = F.lit([int(-(-s // BLOCK)) or 1 for s in size])
-    qblocks = F.lit([int(-(-s // QUERY_BLOCK)) or 1 for s in asks])
-    left = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks[F.col("list")]).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), (qblocks[F.col("list")] - 1).cast("int"))))
-    right = probed.withColumn("qblock", F.pmod(F.xxhash64("query_id"), qblocks[F.col("list")]).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), (blocks[F.col("list")] - 1).cast("int"))))
+                to, row, which = [], [], []
+                for i in range(len(q)):
+                    own = order[i, take[i]]
+                    bins = np.repeat(first[own], count[own]) + np.concatenate([np.arange(n) for n in count[own].tolist()] or [np.zeros(0, np.int64)])
+                    own = np.repeat(own, count[own])
+                    by = np.argsort(bins, kind="stable")
+                    edge = np.flatnonzero(np.append(True, np.diff(bins[by]) != 0)) if len(by) else by
+                    to += bins[by][edge].tolist()
+                    row += [i] * len(edge)
+                    which += np.split(own[by].astype(np.int32), edge[1:]) if len(by) else []
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), b["query_id"].take(pa.array(row, pa.int64())), b["embedding"].take(pa.array(row, pa.int64())), pa.array(which, pa.list_(pa.int32()))], names=["bin", "query_id", "embedding", "lists"])
+
+    firsts, counts = F.lit(first.tolist()), F.lit(count.tolist())
+    of_list = lambda a: F.element_at(a, F.col("list") + 1)
+    left = coded.withColumn("bin", of_list(firsts) + F.pmod(F.xxhash64("vec_id"), of_list(counts))).withColumn("part", F.lit(0).cast("long"))
+    probed = asked.mapInArrow(probes, "bin long, query_id long, embedding array<double>, lists array<int>")
+    n_parts = -(-max(1, asked.count()) // QUERY_BLOCK)  # so many queries that a bin may get are dealt in parts
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))))
+    right = probed.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_parts)))
 
     def compare(codes: pa.Table, asks: pa.Table) -> pa.Table:
-        out_q, out_v, out_d = [], [], []
+        out: dict[int, tuple[list, list]] = {}
         if codes.num_rows and asks.num_rows:
-            which = codes["list"][0].as_py()
-            order = np.argsort(codes["vec_id"].to_numpy(), kind="stable")
-            ids = codes["vec_id"].to_numpy()[order]
+            at, ids = codes["list"].to_numpy(), codes["vec_id"].to_numpy()
+            order = np.lexsort((ids, at))
+            at, ids = at[order], ids[order]
             c = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order].T.copy()
-            q, q_ids = matrix(asks["embedding"].combine_chunks()), asks["query_id"].to_pylist()
-            for a in range(0, len(q), 64):
-                for table, q_id in zip(sent.value.tables(q[a : a + 64], which), q_ids[a : a + 64], strict=True):
-                    d = np.zeros(len(ids), np.float32)
-                    for m in range(len(c)):
-                        d += table[m][c[m]]
-                    if len(d) > keep:  # ties with the last to the smaller id
-                        limit = np.partition(d, keep - 1)[keep - 1]
-                        pick = np.concatenate([np.flatnonzero(d < limit), np.flatnonzero(d == limit)])[:keep]
-                    else:
-                        pick = np.arange(len(d))
-                    out_q.append(q_id)
-                    out_v.append(ids[pick])
-                    out_d.append(d[pick])
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_ids": pa.array(out_v, pa.list_(pa.int64())), "near": pa.array(out_d, pa.list_(pa.float32()))})
-
-    found = left.groupBy("list", "block", "qblock").cogroup(right.groupBy("list", "block", "qblock")).applyInArrow(compare, "query_id long, vec_ids array<long>, near array<float>")
+            q, wanted = matrix(asks["embedding"].combine_chunks()), asks["lists"].to_pylist()
+            row = np.repeat(np.arange(len(q)), [len(w) for w in wanted])
+            which = np.array([x for w in wanted for x in w], np.int64)
+            for x in np.unique(which).tolist():
+                a, b = np.searchsorted(at, (x, x + 1))
+                if a == b:
+                    continue
+                rows = row[which == x]
+                for i in range(0, len(rows), 64):
+                    some = rows[i : i + 64]
+                    for table, r in zip(sent.value.tables(q[some], x), some.tolist(), strict=True):
+                        d = np.zeros(b - a)
+                        for m in range(len(c)):
+                            d += table[m][c[m, a:b]]
+                        held = out.setdefault(r, ([], []))
+                        held[0].append(ids[a:b])
+                        held[1].append(d)
+        found_v, found_d = [], []
+        for v, d in out.values():
+            v, d = np.concatenate(v), np.concatenate(d)
+            pick = np.lexsort((v, d))[:keep] if len(d) <= keep else np.argpartition(d, keep - 1)[:keep]
+            if len(d) > keep:  # ties with the last to the smaller id
+                limit = d[pick].max()
+                under = np.flatnonzero(d < limit)
+                tied = np.flatnonzero(d == limit)
+                pick = np.append(under, tied[np.argsort(v[tied], kind="stable")][: keep - len(under)])
+            found_v.append(v[pick])
+            found_d.append(d[pick])
+        q_ids = asks["query_id"].to_pylist()
+        return pa.table({"query_id": pa.array([q_ids[r] for r in out], pa.int64()), "vec_ids": pa.array(found_v, pa.list_(pa.int64())), "near": pa.array(found_d, pa.list_(pa.float64()))})
+
+    found = left.groupBy("bin", "part").cogroup(right.groupBy("bin", "part")).applyInArrow(compare, "query_id long, vec_ids array<long>, near array<double>")
 
     def best(table: pa.Table) -> pa.Table:
         d, v = (table[c].combine_chunks().flatten().to_numpy() for c in ("near", "vec_ids"))
@@ -174,12 +261,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | Non
     both = vectors_of.unionByName(asked.select("query_id", F.col("query_id").alias("vec_id"), "embedding", F.lit(True).alias("own")))
 
     def rank(table: pa.Table) -> pa.Table:
-        own = table["own"].to_numpy(zero_copy_only=False) if isinstance(table["own"], pa.Array) else table["own"].combine_chunks().to_numpy(zero_copy_only=False)
+        own = table["own"].combine_chunks().to_numpy(zero_copy_only=False)
         v = table["embedding"].combine_chunks()
         x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
         ids = table["vec_id"].to_numpy()
         q = min(x[own].tolist())
-        d = np.sqrt(((x[~own] - np.array(q)) ** 2).sum(1))
+        d = distances(x[~own], np.array(q))
         order = np.lexsort((ids[~own], d))[:k]
         n = len(order)
         return pa.table({"query_id": pa.array([table["query_id"][0].as_py()] * n, pa.int64()), "rank": pa.array(np.arange(1, n + 1, dtype=np.int32)), "vec_id": pa.array(ids[~own][order]), "score": pa.array(d[order])})
