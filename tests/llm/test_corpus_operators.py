@@ -299,6 +299,33 @@ def test_secret_fuzz():
         assert (*(sum(s[1] == k for s in base) for k in range(3)), sha) == want[i]
 
 
+def test_secret_offsets_take_linear_time():
+    import time
+
+    scanner = secrets.SecretScanner.of((*secrets.BASE, *secrets.MORE))
+    took = []
+    for n in (1, 8):
+        text = pa.array(["é" + "token=abcdef\u00e9," * (600 * n)])
+        scanner.scan(text)
+        began = time.process_time()
+        assert len(scanner.scan(text)[0]) == 600 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.2
+
+
+def test_anchors_miss_no_window():
+    rng = np.random.default_rng(4)
+    for k in (12, 50):
+        texts = [" ".join(f"w{x}" for x in rng.integers(0, 4, rng.integers(0, 140))) for _ in range(30)] + ["", None]
+        group = substring.Group(pa.table({"doc_id": pa.array(range(len(texts))), "text": texts}), k)
+        anchors, own = group.anchors()
+        plain = []
+        for a, b in zip(group.row[:-1], group.row[1:], strict=True):
+            for i in range(a, b - k + 1):
+                plain.append(min(substring.window_hashes(group.hashes[i : i + k], np.array([0, k]), 10)[0]))
+        assert own.tolist() == plain and set(plain) <= set(anchors.tolist()) and len(anchors) < 0.75 * len(group.hashes)
+
+
 def test_ann(spark, monkeypatch):
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(12, 16))

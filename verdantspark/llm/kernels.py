@@ -73,18 +73,27 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return mix(h + lens.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def window_hashes(hashes: np.ndarray, row_words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of k words within a row, and the index of each run's first word."""
-    n = len(hashes)
+def window_starts(row_words: np.ndarray, k: int) -> np.ndarray:
+    """The first words of all runs of k words within a row."""
     counts = np.maximum(np.diff(row_words) - k + 1, 0)
-    total = int(counts.sum())
-    if not total:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    at = np.arange(total) - np.repeat(first, counts) + np.repeat(row_words[:-1], counts)
+    first = np.cumsum(counts) - counts
+    return np.arange(counts.sum()) - np.repeat(first, counts) + np.repeat(row_words[:-1], counts)
+
+
+def runs_at(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words that begin at the given words."""
+    n = len(hashes)
+    if not len(at):
+        return np.zeros(0, U64)
     prefix = np.zeros(n + 1, U64)
     np.cumsum(hashes * powers(_MULT, n), out=prefix[1:])
-    return mix((prefix[at + k] - prefix[at]) * powers(_INV, n)[at]), at
+    return mix((prefix[at + k] - prefix[at]) * powers(_INV, n)[at])
+
+
+def window_hashes(hashes: np.ndarray, row_words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of k words within a row, and the index of each run's first word."""
+    at = window_starts(row_words, k)
+    return runs_at(hashes, at, k), at
 
 
 def covered(flags: np.ndarray, at: np.ndarray, k: int, n: int) -> np.ndarray:

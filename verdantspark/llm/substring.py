@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, text_buffer
-from .kernels import NOT_SPACE, U64, covered, mix, window_hashes, word_hashes, words
+from .kernels import NOT_SPACE, U64, covered, mix, runs_at, window_hashes, window_starts, word_hashes, words
 
 #: Text of a group of documents, which a task holds as a whole.
 GROUP_BYTES = 8 << 20
-#: Windows that a shard of the sketch counts, on average.
+#: Words of the anchors, by which the sketch counts windows.
+ANCHOR = 10
+#: Windows, or cells of a row of the sketch, of a shard, on average.
 SHARD_WINDOWS = 1 << 20
-#: Cells of a sketch row for each window of the corpus, and rows.
-CELLS_PER_WINDOW = 8
-DEPTH = 1
+#: Cells of a sketch row for each anchor of the corpus, and rows.
+CELLS_PER_ANCHOR = 4
+DEPTH = 3
+#: A cell counts up to this.
+MOST = 255
 
 NO_ID = np.iinfo(np.int64).max
 _ROW_SEEDS = [U64(0), *(mix(np.arange(1, 9, dtype=U64) * U64(0x9E3779B97F4A7C15)))]
@@ -53,6 +57,18 @@ def unbits(data: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8, offset=8), count=struct.unpack_from("<q", data)[0], bitorder="little").astype(bool)
 
 
+def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
+    """The least or greatest (best: np.minimum or np.maximum) of each `width` consecutive values."""
+    if len(values) < width:
+        return values[:0]
+    have, out = 1, values
+    while have < width:
+        by = min(have, width - have)
+        out = best(out[: len(out) - by], out[by:])
+        have += by
+    return out
+
+
 class Group:
     """The words and windows of some documents, in ascending order of their ids; a null id counts as larger than any."""
 
@@ -65,20 +81,42 @@ class Group:
         self.buf, offsets = text_buffer(texts if isinstance(texts, pa.Array) else texts.chunk(0) if texts.num_chunks else pa.array([], pa.large_string()))
         self.starts, self.ends, self.row = words(self.buf, offsets, NOT_SPACE)
         self.k = k
-        hashes = word_hashes(self.buf, self.starts, self.ends, 1)
-        h, self.at = window_hashes(hashes, self.row, k)
-        #: Different windows in ascending order, the first place of each, and each place's window.
-        self.h, self.first, self.which = np.unique(h, return_index=True, return_inverse=True)
+        self.hashes = word_hashes(self.buf, self.starts, self.ends, 1)
         self.owner = np.repeat(np.arange(len(self.ids)), np.diff(self.row))
 
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the places that anchor a window, and per window the hash of its anchor.
+
+        A window's anchor is the run of ANCHOR words in it with the least hash, so that equal windows have equal anchors, and
+        windows of different documents have anchors at different places. Neighbouring windows mostly share theirs.
+        """
+        words_ = min(ANCHOR, self.k)
+        g, at = window_hashes(self.hashes, self.row, words_)
+        n, span = len(self.hashes), self.k - words_ + 1
+        values = np.full(n, np.iinfo(np.uint64).max, U64)
+        values[at] = g
+        starts = window_starts(self.row, self.k)
+        least = np.zeros(n, U64)
+        if len(starts):
+            least[starts] = sliding(values, span, np.minimum)[starts]
+        # a place is an anchor if it is the least of a window over it: the greatest of the windows' least values is its own
+        reach = sliding(np.concatenate([np.zeros(span - 1, U64), least]), span, np.maximum)
+        return g[reach[at] == g] if n else g, least[starts]
+
+    def windows(self, flagged: np.ndarray) -> None:
+        """Hashes of those windows that are flagged: `h`, the different ones ascending, `first`, the first place of each, and
+        `which`, each place's; places are `at`."""
+        self.at = window_starts(self.row, self.k)[flagged]
+        h = runs_at(self.hashes, self.at, self.k)
+        self.h, self.first, self.which = np.unique(h, return_index=True, return_inverse=True)
+
     def doc_of(self, windows: np.ndarray) -> np.ndarray:
         """The smallest document index of each given window: documents are in order, so that of its first place."""
         return self.owner[self.at[self.first[windows]]]
 
-    def second(self, windows: np.ndarray) -> np.ndarray:
-        """Another hash of the given windows."""
-        h, _ = window_hashes(word_hashes(self.buf, self.starts, self.ends, 2), self.row, self.k)
-        return h[self.first[windows]]
+    def second(self) -> np.ndarray:
+        """Another hash of the different windows, by other hashes of the words."""
+        return runs_at(word_hashes(self.buf, self.starts, self.ends, 2), self.at[self.first], self.k)
 
 
 class Sketch:
@@ -86,20 +124,18 @@ class Sketch:
 
     def __init__(self, windows: int, depth: int) -> None:
         self.depth = depth
-        self.cell_bits = max(8, int(np.ceil(np.log2(max(windows, 1) * CELLS_PER_WINDOW))))
+        anchors = max(windows, 1) / 16  # about two in 41 places; the sketch need not be exact about it
+        self.cell_bits = max(8, int(np.ceil(np.log2(anchors * CELLS_PER_ANCHOR))))
+        self.sketch_bits = max(0, int(np.ceil(np.log2(anchors / SHARD_WINDOWS))))
         self.shard_bits = max(0, int(np.ceil(np.log2(max(windows, 1) / SHARD_WINDOWS))))
 
-    def cells(self, h: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """The different cells of windows, ascending, and each window's."""
-        own = (mix(h ^ _ROW_SEEDS[row]) if row else h) >> U64(64 - self.cell_bits)
-        if row:
-            return np.unique(own, return_inverse=True)
-        new = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
-        return own[new], np.cumsum(new) - 1
+    def cells(self, h: np.ndarray, row: int) -> np.ndarray:
+        """The row's cell of each hash."""
+        return (mix(h ^ _ROW_SEEDS[row]) if row else h) >> U64(64 - self.cell_bits)
 
     def shards(self, cells: np.ndarray) -> list[tuple[int, int, int]]:
         """Runs (shard, from, to) of ascending cells."""
-        s = (cells >> U64(self.cell_bits - self.shard_bits)).astype(np.int64)
+        s = (cells >> U64(self.cell_bits - self.sketch_bits)).astype(np.int64)
         edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])) if len(s) else np.zeros(1, np.int64)
         return [(int(s[a]), int(a), int(b)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
@@ -119,11 +155,12 @@ def repeated_windows(docs: DataFrame, k: int = 50, depth: int = DEPTH) -> DataFr
     words, joined by one space. Documents are dealt once into groups of about GROUP_BYTES; all that moves afterwards are
     compressed messages between groups and shards, each shard with a bounded share of all windows:
 
-    1. A group's sketch, as the counts (one, or more) of its cells, goes to the shards of the sketch. A shard adds up the
-       groups' counts and answers each group which of its cells count two or more.
-    2. A group's windows whose cells all do may be repeated; no repeated window is missed, as cells only overestimate. They
-       go, once a group, with 96 bits of hash and their smallest document, to shards of windows. Such a shard groups equal
-       windows and answers which of a group's have a smaller document elsewhere.
+    1. A group counts its windows' anchors in its own sketch of `depth` rows; the counts of its cells go to the shards of the
+       sketch. A shard adds up all groups' counts and tells each group which of its cells count two or more.
+    2. A window whose anchor counts two or more in every row may be repeated. The sketch only overestimates, and a window that
+       two documents hold has an anchor in each, so no repeated window is missed. Such windows go, once a group, with 128 bits
+       of two hashes and their smallest document, to shards of windows. Such a shard groups equal windows and answers which of
+       a group's have a smaller document elsewhere.
     3. A group marks the words.
 
     The sketch grows with the corpus and is never whole anywhere. A window that very many documents share is one entry per
@@ -139,54 +176,44 @@ def repeated_windows(docs: DataFrame, k: int = 50, depth: int = DEPTH) -> DataFr
     grouped = docs.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n))).repartition(n, "g")
 
     def count(table: pa.Table) -> pa.Table:
-        g, group = table["g"][0].as_py(), Group(table, k)
-        many = np.zeros(len(group.h), np.int64)
-        np.add.at(many, group.which, 1)
+        g, anchors = table["g"][0].as_py(), Group(table, k).anchors()[0]
         rows = []
         for r in range(depth):
-            cells, own = sketch.cells(group.h, r)
-            total = np.bincount(own, many, len(cells)) > 1
+            cells, n = np.unique(sketch.cells(anchors, r), return_counts=True)
             for s, a, b in sketch.shards(cells):
-                rows.append((r << 40 | s, g, bits(total[a:b]) + pack(np.diff(cells[a:b], prepend=U64(0)))))
+                rows.append((r << 40 | s, g, pack(np.diff(cells[a:b], prepend=U64(0)), np.minimum(n[a:b], MOST).astype(U64))))
         return messages(rows)
 
     def merge(table: pa.Table) -> pa.Table:
-        to = table["to"][0].as_py()
-        parts = []
+        to, parts = table["to"][0].as_py(), []
         for data in table["data"].to_pylist():
-            flags = unbits(data[: 8 + -(-struct.unpack_from("<q", data)[0] // 8)])
-            parts.append((np.cumsum(unpack(data[8 + -(-len(flags) // 8) :])[0], dtype=U64), flags))
-        cells = np.concatenate([c for c, _ in parts])
-        order = np.sort(cells)
-        twice = order[1:][order[1:] == order[:-1]]
-        several = np.unique(np.concatenate([twice, *(c[f] for c, f in parts)]))
-        rows = []
-        for g, (c, _) in zip(table["g"].to_pylist(), parts, strict=True):
-            at = np.minimum(np.searchsorted(several, c), max(len(several) - 1, 0))
-            rows.append((to, g, bits(several[at] == c if len(several) else np.zeros(len(c), bool))))
-        return messages(rows)
+            cells, n = unpack(data)
+            parts.append((np.cumsum(cells, dtype=U64), n))
+        known, which = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        several = np.bincount(which, np.concatenate([n for _, n in parts]).astype(float)) >= 2
+        cuts = np.cumsum([len(c) for c, _ in parts])[:-1]
+        return messages([(to, g, bits(f)) for g, f in zip(table["g"].to_pylist(), np.split(several[which], cuts), strict=True)])
 
     def suspects(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return messages([])
         g, group = left["g"][0].as_py(), Group(left, k)
         answers = dict(zip(right["to"].to_pylist(), right["data"].to_pylist(), strict=True))
-        flagged = np.ones(len(group.h), bool)
+        anchors, own = group.anchors()
+        flagged = np.ones(len(own), bool)
         for r in range(depth):
-            cells, own = sketch.cells(group.h, r)
-            several = np.zeros(len(cells), bool)
-            for s, a, b in sketch.shards(cells):
-                several[a:b] = unbits(answers[r << 40 | s])
-            flagged &= several[own]
-        some = np.flatnonzero(flagged)
+            cells = np.unique(sketch.cells(anchors, r))
+            several = np.concatenate([np.zeros(0, bool), *(unbits(answers[r << 40 | s]) for s, _, _ in sketch.shards(cells))])
+            flagged &= several[np.searchsorted(cells, sketch.cells(own, r))] if len(cells) else False
+        group.windows(flagged)
         rows = [(-1 - g, g, bits(flagged))]
-        if len(some):
-            h, other, ids = group.h[some], group.second(some), group.ids[group.doc_of(some)]
+        if len(group.h):
+            h, other, ids = group.h, group.second(), group.ids[group.doc_of(np.arange(len(group.h)))]
             shift = U64(64 - sketch.shard_bits)
             s = (h >> shift).astype(np.int64) if sketch.shard_bits else np.zeros(len(h), np.int64)
             edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                rows.append((int(s[a]), g, pack(np.diff(h[a:b], prepend=U64(0)), other[a:b] & U64(0xFFFFFFFF), ids[a:b].view(U64))))
+                rows.append((int(s[a]), g, pack(np.diff(h[a:b], prepend=U64(0)), other[a:b], ids[a:b].view(U64))))
         return messages(rows)
 
     def exact(table: pa.Table) -> pa.Table:
@@ -211,11 +238,10 @@ def repeated_windows(docs: DataFrame, k: int = 50, depth: int = DEPTH) -> DataFr
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "removed": pa.array([], pa.list_(pa.int32())), "kept": pa.array([], pa.string())})
         group = Group(left, k)
         answers = dict(zip(right["to"].to_pylist(), right["data"].to_pylist(), strict=True))
-        flagged = unbits(answers.pop(-1 - left["g"][0].as_py()))
-        some = np.flatnonzero(flagged)
+        group.windows(unbits(answers.pop(-1 - left["g"][0].as_py())))
         elsewhere = np.concatenate([np.zeros(0, bool), *(unbits(answers[s]) for s in sorted(answers))])
-        earlier = np.full(len(group.h), NO_ID)  # per window, the smallest id known here, or less than any
-        earlier[some] = np.where(elsewhere, np.iinfo(np.int64).min, group.ids[group.doc_of(some)])
+        # per window, the smallest id known here, or less than any
+        earlier = np.where(elsewhere, np.iinfo(np.int64).min, group.ids[group.doc_of(np.arange(len(group.h)))])
         own = group.ids[group.owner[group.at]]
         gone = covered(earlier[group.which] < own, group.at, k, len(group.starts))
         return kept_words(group, gone)
