@@ -176,9 +176,26 @@ def test_proximity(spark):
     assert got == {1: ([], ["9"]), 2: ([], ["9"]), 3: ([], []), 4: ([], [])}
 
 
-def test_positional_index(docs):
-    rows = decontam.positional_index(docs).agg(F.sum(F.size("places"))).first()[0]
-    assert rows == sum(r.n_words for r in decontam.contamination(docs, docs.sparkSession.createDataFrame([], "item_id long, text string")).collect())
+def test_positional_index(docs, rows):
+    index = decontam.positional_index(docs).collect()
+    got = {}
+    for r in index:
+        for t, a, b in zip(r.terms, r.first, r.first[1:], strict=False):
+            for p in r.places[a:b]:
+                d = int(np.searchsorted(r.row, p, side="right")) - 1
+                got.setdefault(r.doc_ids[d], {})[p - r.row[d]] = t.encode()
+    assert sum(len(r.doc_ids) for r in index) == len(rows)
+    for i, t in rows:
+        own = got.get(i, {})
+        assert [own[k] for k in sorted(own)] == brute.benchmark_words(t)
+
+
+def test_contamination_carries_any_column(spark):
+    names = [f.name for f in decontam.FOUND] + ["found_hit", "found_words", "found_spans", "shard", "row", "N_Hit"][:5]
+    df = spark.createDataFrame([(1, "one two three four", *range(10)), (2, "five", *range(10)), (None, "one two three", *range(10))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    items = spark.createDataFrame([(9, "two three")], "item_id long, text string")
+    out = decontam.drop_contaminated(df, items)
+    assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [2]
 
 
 def test_token_files(docs, rows, encoder, tmp_path):

@@ -1,4 +1,4 @@
-"""Benchmark decontamination by positional inverted indexes, one per shard of the training documents."""
+"""Benchmark decontamination by a positional inverted index of the training documents, stored in shards."""
 
 from __future__ import annotations
 
@@ -7,19 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, cut, documents, slices, text_buffer
-from .kernels import LOWER, WORDISH, word_hashes, words
+from .common import append_arrow, cut, documents, free, slices, text_buffer
+from .kernels import LOWER, WORDISH, gathered, word_hashes, words
 
 #: Words of a window.
 WINDOW = 10
-#: Items whose windows are searched in one pass over the documents; more items make more passes.
-BLOCK_ITEMS = 20_000
-#: Text whose postings a task holds at a time.
-SHARD_BYTES = 6 << 20
+#: Items whose windows are searched at a time, and their bytes of text.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
+#: Text of a shard of the index.
+SHARD_BYTES = 512 << 10
 
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -32,126 +33,140 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 @dataclass
 class Tests:
-    """Windows of test items: `at` and `size` cut `terms`; `items` has, per window, the items that contain it."""
+    """Windows of test items: the different terms, ascending by id, and per window its terms' numbers (-1 after the last), its
+    size, and the items that contain it."""
 
-    terms: np.ndarray
-    at: np.ndarray
+    ids: np.ndarray
+    texts: pa.Array
+    grid: np.ndarray
     size: np.ndarray
     items: list[list]
-    text: list[bytes]
 
     @classmethod
     def of(cls, ids: list, texts: list[str | None], window: int = WINDOW) -> Tests:
         buf, starts, ends, row, h = terms(pa.array(texts, pa.string()))
-        found: dict[bytes, list] = {}
-        place: list[tuple[int, int]] = []
+        known, first, number = np.unique(h, return_index=True, return_inverse=True)
+        found: dict[tuple, list] = {}
         for i, a, b in zip(ids, row[:-1].tolist(), row[1:].tolist(), strict=True):
             for s in range(a, max(a, b - window) + 1) if b > a else ():
-                e = min(b, s + window)
-                key = b" ".join(buf[x:y].tobytes() for x, y in zip(starts[s:e].tolist(), ends[s:e].tolist(), strict=True))
-                if key not in found:
-                    found[key] = []
-                    place.append((s, e - s))
-                if not found[key] or found[key][-1] != i:
-                    found[key].append(i)
-        at, size = (np.array([p[k] for p in place], np.int64) for k in (0, 1))
-        return cls(h, at, size, list(found.values()), list(found))
+                own = found.setdefault(tuple(number[s : min(b, s + window)].tolist()), [])
+                if not own or own[-1] != i:
+                    own.append(i)
+        size = np.array([len(w) for w in found], np.int64)
+        grid = np.full((len(found), int(size.max(initial=1))), -1, np.int64)
+        for w, t in enumerate(found):
+            grid[w, : len(t)] = t
+        return cls(known, gathered(buf, starts[first], ends[first]), grid, size, list(found.values()))
 
 
+@dataclass
 class Shard:
-    """A positional inverted index: per term, the ascending places of its words in the shard.
+    """A positional inverted index: per term, ascending by id, its text and the ascending numbers of its words in the shard.
 
-    A place counts words over all rows, with a gap between rows, so that no phrase crosses them.
+    `row` has the first word of each document, and at the end the number of words.
     """
 
-    def __init__(self, texts: pa.Array, vocabulary: np.ndarray | None, gap: int) -> None:
-        self.buf, self.starts, self.ends, self.row, h = terms(texts)
-        self.owner = np.repeat(np.arange(len(self.row) - 1), np.diff(self.row))
-        place = np.arange(len(h)) + self.owner * gap
-        self.gap = gap
-        if vocabulary is None:
-            known = np.arange(len(h))
-        else:
-            k = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
-            known = np.flatnonzero(vocabulary[k] == h) if len(vocabulary) else np.zeros(0, np.int64)
-        order = known[np.argsort(h[known], kind="stable")]
-        sorted_ = h[order]
-        self.terms, self.first = np.unique(sorted_, return_index=True)
-        self.first = np.append(self.first, len(order))
-        self.places = place[order]
-
-    def rows(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Each term and its places: what an index table stores."""
-        for i, t in enumerate(self.terms):
-            yield int(t), self.places[self.first[i] : self.first[i + 1]]
-
-    def search(self, tests: Tests, slop: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per window that occurs here: its number, the places where its phrase begins, and the places of its rarest term
-        around which, within `slop` more words, all its terms occur in any order."""
-        if not len(tests.terms) or not len(self.terms):
-            return
-        number = np.searchsorted(self.terms, tests.terms)
-        number[(number == len(self.terms)) | (self.terms[np.minimum(number, len(self.terms) - 1)] != tests.terms)] = -1
-        length = np.append(np.diff(self.first), 0)[number]  # no postings: 0
-        for w, (a, n) in enumerate(zip(tests.at.tolist(), tests.size.tolist(), strict=True)):
-            own = length[a : a + n]
-            if not own.min():
-                continue
-            order = np.argsort(own, kind="stable")
-            lists = [self.places[self.first[number[a + o]] : self.first[number[a + o] + 1]] for o in order.tolist()]
-            begin = lists[0] - order[0]
-            for o, p in zip(order[1:].tolist(), lists[1:], strict=True):
-                k = np.searchsorted(p, begin + o)
-                begin = begin[p[np.minimum(k, len(p) - 1)] == begin + o]
-                if not len(begin):
+    row: np.ndarray
+    texts: pa.Array
+    first: np.ndarray
+    places: np.ndarray
+    terms: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Shard:
+        buf, starts, ends, row, h = terms(texts)
+        order = np.argsort(h, kind="stable")
+        known, first = np.unique(h[order], return_index=True)
+        some = order[first]
+        return cls(row, gathered(buf, starts[some], ends[some]), np.append(first, len(order)), order, known)
+
+    @classmethod
+    def stored(cls, row: pa.Array, texts: pa.Array, first: pa.Array, places: pa.Array) -> Shard:
+        buf, offsets = text_buffer(texts)
+        return cls(row.to_numpy().astype(np.int64), texts, first.to_numpy().astype(np.int64), places.to_numpy().astype(np.int64), word_hashes(buf, offsets[:-1], offsets[1:]))
+
+    def owner(self) -> np.ndarray:
+        """The document of each word."""
+        return np.repeat(np.arange(len(self.row) - 1), np.diff(self.row))
+
+    def search(self, tests: Tests, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Exact matches (window, first word), and with `slop` near ones (window, word): those of a window's rarest term around
+        which, within `slop` more words than the window has, all its terms occur in any order.
+
+        Lists of all windows whose terms all occur here are intersected side by side, each window's from its rarest term on:
+        what is left of a list, shifted by the terms' offsets, is looked up in the next. Terms are compared by text, too.
+        """
+        none = np.zeros(0, np.int64)
+        if not len(tests.size) or not len(self.terms):
+            return none, none, none, none
+        number = np.minimum(np.searchsorted(self.terms, tests.ids), len(self.terms) - 1)
+        same = self.terms[number] == tests.ids
+        same[same] = pc.equal(self.texts.take(pa.array(number[same])), tests.texts.filter(pa.array(same))).to_numpy(zero_copy_only=False)
+        length = np.where(same, np.diff(self.first)[number], 0)
+        counts = np.where(tests.grid >= 0, length[tests.grid], np.iinfo(np.int64).max)
+        alive = np.flatnonzero(counts.min(1) > 0)
+        if not len(alive):
+            return none, none, none, none
+        order = np.argsort(counts[alive], axis=1, kind="stable")
+        width = tests.grid.shape[1] + slop + 1  # a gap between documents that no window crosses
+        owner = self.owner()
+        places = self.places + owner[self.places] * width
+        reach = int(places.max()) + 2 * width + 1
+        lists = np.repeat(np.arange(len(self.terms)), np.diff(self.first)) * reach + places  # all lists as one ascending list
+        rare = tests.grid[alive, order[:, 0]]
+        n = length[rare]
+        w = np.repeat(np.arange(len(alive)), n)
+        at = places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[number[rare]], n)]
+
+        def next_in_list(w: np.ndarray, j: int, place: np.ndarray) -> np.ndarray:
+            """The first place from `place` on in the list of a window's j-th rarest term; far away if there is none."""
+            t = number[tests.grid[alive[w], order[w, j]]] * reach
+            k = np.searchsorted(lists, t + place)
+            got = lists[np.minimum(k, len(lists) - 1)] - t
+            return np.where((k < len(lists)) & (got < reach), got, 4 * reach)
+
+        def matched(w: np.ndarray, at: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray]:
+            for j in range(1, tests.grid.shape[1]):
+                more = tests.size[alive[w]] > j
+                ok = ~more
+                ok[more] = keep(w[more], j, at[more])
+                w, at = w[ok], at[ok]
+                if not len(w):
                     break
-            near = np.zeros(0, np.int64)
-            if slop:
-                near = lists[0]
-                for p in lists[1:]:
-                    k = np.searchsorted(p, near - (n + slop) + 1)
-                    near = near[p[np.minimum(k, len(p) - 1)] <= near + (n + slop) - 1] if len(p) else near[:0]
-                    if not len(near):
-                        break
-            if len(begin) or len(near):
-                yield w, begin, near
-
-    def words_at(self, places: np.ndarray) -> np.ndarray:
-        """The numbers of the words at these places."""
-        last = self.row[1:] - 1 + np.arange(len(self.row) - 1) * self.gap  # the place of each row's last word
-        return places - self.gap * np.searchsorted(last, places)
-
-
-def judged(part: pa.RecordBatch, tests: Tests, vocabulary: np.ndarray, slop: int) -> list[pa.Array]:
-    """Per row of texts: words, words inside an occurrence of a window, the borders of such stretches, the items that occur
-    and those that occur nearby. What earlier blocks of items found, in columns of the same names, is taken over."""
-    texts = part.column("text")
-    gap = int(tests.size.max()) + slop + 1 if len(tests.size) else 1
-    shard = Shard(texts, vocabulary, gap)
-    n, rows = len(shard.starts), len(texts)
-    step = np.zeros(n + 1, np.int64)
+            return w, at
+
+        def adjacent(w, j, at):
+            want = at + order[w, j]
+            return next_in_list(w, j, want) == want
+
+        def around(w, j, at):
+            far = tests.size[alive[w]] + slop - 1
+            return next_in_list(w, j, np.maximum(at - far, 0)) <= at + far
+
+        to_word = lambda p: p - width * np.searchsorted(self.row[1:] - 1 + np.arange(len(self.row) - 1) * width, p)
+        x, begin = matched(w, at - order[w, 0], adjacent)
+        y, near = matched(w, at, around) if slop else (none, none)
+        return alive[x], to_word(begin), alive[y], to_word(near)
+
+
+def judged(shard: Shard, tests: list[Tests], slop: int) -> list[pa.Array]:
+    """Per document of a shard: words, words inside an occurrence of a window, the borders of such stretches of words, the items
+    that occur and those that occur nearby."""
+    n, rows = int(shard.row[-1]), len(shard.row) - 1
+    step, owner = np.zeros(n + 1, np.int64), shard.owner()
     exact: list[set] = [set() for _ in range(rows)]
     close: list[set] = [set() for _ in range(rows)]
-    if FOUND[1].name in part.schema.names:
-        for r, (spans, items, near) in enumerate(zip(*(part.column(f.name).to_pylist() for f in FOUND[2:]), strict=True)):
-            np.add.at(step, shard.row[r] + np.array(spans[::2], np.int64), 1)
-            np.add.at(step, shard.row[r] + np.array(spans[1::2], np.int64), -1)
-            exact[r].update(items)
-            close[r].update(near)
-    for w, begin, near in shard.search(tests, slop):
-        size = int(tests.size[w])
-        for i in shard.words_at(begin).tolist():  # term ids are hashes: the words themselves decide
-            if b" ".join(shard.buf[a:b].tobytes() for a, b in zip(shard.starts[i : i + size].tolist(), shard.ends[i : i + size].tolist(), strict=True)) == tests.text[w]:
-                step[i] += 1
-                step[i + size] -= 1
-                exact[shard.owner[i]].update(tests.items[w])
-        for r in np.unique(shard.owner[shard.words_at(near)]).tolist():
-            close[r].update(tests.items[w])
+    for block in tests:
+        w, begin, v, near = shard.search(block, slop)
+        np.add.at(step, begin, 1)
+        np.add.at(step, begin + block.size[w], -1)
+        for sets, which, words_ in ((exact, w, begin), (close, v, near)):
+            for r, x in sorted(set(zip(owner[words_].tolist(), which.tolist(), strict=True))):
+                sets[r].update(block.items[x])
     inside = np.cumsum(step[:-1]) > 0
     total = np.concatenate([[0], np.cumsum(inside)])
     spans: list[list[int]] = [[] for _ in range(rows)]
-    edge = np.flatnonzero(inside)
-    for r in np.unique(shard.owner[edge]).tolist():
+    for r in np.unique(owner[inside]).tolist():
         own = np.concatenate([[0], inside[shard.row[r] : shard.row[r + 1]].astype(np.int8), [0]])
         spans[r] = np.flatnonzero(np.diff(own)).tolist()
     lists = [pa.array(spans, pa.list_(pa.int32())), *(pa.array([sorted(map(str, x)) for x in found], pa.list_(pa.string())) for found in (exact, close))]
@@ -160,83 +175,92 @@ def judged(part: pa.RecordBatch, tests: Tests, vocabulary: np.ndarray, slop: int
 
 def blocks(items: DataFrame, window: int, size: int = BLOCK_ITEMS) -> Iterator[Tests]:
     """Test items in blocks of bounded size; items without words, and null ids, have no windows."""
-    ids, texts = [], []
+    ids, texts, held = [], [], 0
     for r in items.select(F.col("item_id").alias("i"), F.col("text").cast("string").alias("t")).filter("i is not null and t is not null").toLocalIterator():
         ids.append(r.i)
         texts.append(r.t)
-        if len(ids) == size:
+        held += len(r.t)
+        if len(ids) == size or held >= BLOCK_BYTES:
             yield Tests.of(ids, texts, window)
-            ids, texts = [], []
-    yield Tests.of(ids, texts, window)
+            ids, texts, held = [], [], 0
+    if ids:
+        yield Tests.of(ids, texts, window)
 
 
 #: What is found of each document: words, words that are hit, borders of hit stretches of words, items, items nearby.
 FOUND = [
-    T.StructField("found_words", T.LongType()),
-    T.StructField("found_hit", T.LongType()),
-    T.StructField("found_spans", T.ArrayType(T.IntegerType())),
-    T.StructField("found_items", T.ArrayType(T.StringType())),
-    T.StructField("found_near", T.ArrayType(T.StringType())),
+    T.StructField("n_words", T.LongType()),
+    T.StructField("n_hit", T.LongType()),
+    T.StructField("spans", T.ArrayType(T.IntegerType())),
+    T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("near_items", T.ArrayType(T.StringType())),
 ]
+#: A shard of the stored index: its documents' ids and first words, the terms, and each one's part of the places.
+INDEX = "shard long, doc_ids array<long>, row array<int>, terms array<string>, first array<int>, places array<int>"
 
 
-def with_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """docs with the columns FOUND: see judged().
+def positional_index(docs: DataFrame) -> DataFrame:
+    """The positional inverted index of all words of docs as a table, a row for each shard of about SHARD_BYTES of text. Each
+    task indexes its own documents, so nothing is shuffled, and a term that very many documents share is one list a shard."""
 
-    Each task indexes its documents' words shard by shard and looks the windows up there: offset-adjusted places are
-    intersected from the rarest term on, so nothing is shuffled, and a passage that very many documents share costs each of
-    them its own share. Test items come in blocks of BLOCK_ITEMS, one pass each, so that what executors hold is bounded.
-    Null and empty texts have no words; repeated rows are judged each; no items leave all documents clean.
-    """
-    base, out = docs.columns, docs
-    for k, tests in enumerate(blocks(items, window)):
-        sent = docs.sparkSession.sparkContext.broadcast(tests)
-        if k:
-            out = cut(out, "contamination")
-        known = out.columns
-
-        def setup(sent=sent):
-            tests = sent.value
-            used = [tests.terms[a : a + n] for a, n in zip(tests.at.tolist(), tests.size.tolist(), strict=True)]
-            vocabulary = np.unique(np.concatenate(used)) if used else np.zeros(0, np.uint64)
-            return lambda part: judged(part, tests, vocabulary, slop)
-
-        if k:  # the new columns replace the old
-            renamed = [T.StructField(f"new_{f.name}", f.dataType) for f in FOUND]
-            out = append_arrow(out, None, renamed, setup, SHARD_BYTES).select(*base, *(F.col(f"new_{f.name}").alias(f.name) for f in FOUND))
-        else:
-            out = append_arrow(out.select(*known), None, FOUND, setup, SHARD_BYTES)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        k = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in slices(batch, limit=SHARD_BYTES):
+                shard = Shard.of(part.column("text"))
+                ints = lambda x: pa.array([x.astype(np.int32)], pa.list_(pa.int32()))
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), one(part.column("doc_id")), ints(shard.row), one(shard.texts), ints(shard.first), ints(shard.places)], names=["shard", "doc_ids", "row", "terms", "first", "places"])
+                k += 1
+
+    return documents(docs).mapInArrow(run, INDEX)
+
+
+def search_index(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
+    """doc_id and the columns FOUND of every document of a positional_index."""
+    sc = index.sparkSession.sparkContext
+    sent = [sc.broadcast(t) for t in blocks(items, window)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = [s.value for s in sent]
+        for b in batches:
+            for r in range(b.num_rows):
+                shard = Shard.stored(*(b[c][r].values for c in ("row", "terms", "first", "places")))
+                yield pa.RecordBatch.from_arrays([b["doc_ids"][r].values, *judged(shard, tests, slop)], names=["doc_id", *(f.name for f in FOUND)])
+
+    return index.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), *FOUND]))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """doc_id, n_words, n_hit, spans, items and near_items of every document."""
-    found = with_contamination(documents(docs), items, window, slop)
-    return found.select("doc_id", *(F.col(f.name).alias(n) for f, n in zip(FOUND, ("n_words", "n_hit", "spans", "items", "near_items"), strict=True)))
+    """doc_id, n_words, n_hit, spans, items and near_items of every document.
 
+    The index of docs is written to the shared folder and searched shard by shard; windows come in blocks of bounded size, and
+    what a task holds grows with the items, never with the documents. Null and empty texts have no words; repeated rows are
+    judged each, as are rows without an id; no items leave all documents clean; an empty table gives no rows.
+    """
+    return search_index(cut(positional_index(docs), "positional-index"), items, window, slop)
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The columns and rows of docs without those in which a window of an item occurs."""
-    return with_contamination(docs, items, window).filter("found_hit = 0").select(*docs.columns)
 
+def with_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
+    """docs with the columns FOUND, with underscores in front of names that docs has: rows stay where they are, and the shards
+    of the index live as long as their search."""
+    sent = [docs.sparkSession.sparkContext.broadcast(t) for t in blocks(items, window)]
+    names = free(docs.columns, *(f.name for f in FOUND))
 
-def positional_index(docs: DataFrame, vocabulary: list[int] | None = None) -> DataFrame:
-    """The index as a table: task, shard, term (64-bit id), doc_ids and the words' numbers in them; for keeping or study."""
+    def setup():
+        tests = [s.value for s in sent]
+        return lambda part: judged(Shard.of(part.column("text")), tests, slop)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    typed = docs.withColumn("text", F.col("text").cast("string"))
+    return append_arrow(typed, None, [T.StructField(n, f.dataType) for n, f in zip(names, FOUND, strict=True)], setup, SHARD_BYTES)
 
-        task, k = TaskContext.get().partitionId(), 0
-        known = None if vocabulary is None else np.array(sorted(x % (1 << 64) for x in vocabulary), np.uint64)
-        for batch in batches:
-            for part in slices(batch, limit=SHARD_BYTES):
-                shard, ids = Shard(part.column("text"), known, 1), part.column("doc_id")
-                for term, places in shard.rows():
-                    w = shard.words_at(places)
-                    yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "shard": pa.array([k], pa.int32()), "term": pa.array([term], pa.uint64()).view(pa.int64()), "doc_ids": pa.array([ids.take(pa.array(shard.owner[w])).to_pylist()], pa.list_(pa.int64())), "places": pa.array([(w - shard.row[shard.owner[w]]).tolist()], pa.list_(pa.int64()))})
-                k += 1
 
-    return documents(docs).mapInArrow(run, "task int, shard int, term long, doc_ids array<long>, places array<long>")
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The columns and rows of docs without those in which a window of an item occurs."""
+    hit = free(docs.columns, *(f.name for f in FOUND))[1]
+    return with_contamination(docs, items, window).filter(F.col(hit) == 0).select(*docs.columns)
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -60,6 +61,14 @@ def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def gathered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The given stretches of bytes as strings."""
+    lens = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lens)])
+    data = buf[np.arange(offsets[-1]) - np.repeat(offsets[:-1], lens) + np.repeat(starts, lens)]
+    return pa.StringArray.from_buffers(len(lens), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
     """A 64-bit hash of each word's bytes: a mixed polynomial over a random table, so equal words have equal hashes anywhere."""
     if not len(starts):
