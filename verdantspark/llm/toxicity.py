@@ -11,18 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, slices
+from .common import documents, slices
 
 #: Labelled rows of each class that are learnt from, at most; those with the smallest hashes of their ids.
 LABELLED = 30_000
 #: Of these, examples of each class in the index, at most.
-EXAMPLES = 8_000
-#: Terms, at most: those whose presence goes with the label most.
-TERMS = 4_000
-#: Least chi-square statistic of a term, and least ratio of its shares in the classes.
-CHI_SQUARE, RATIO = 20.0, 2.0
+EXAMPLES = 800
+#: Least chi-square statistic of a term that goes with the label, least ratio of its shares in the classes, and the weight of all
+#: other terms beside these.
+CHI_SQUARE, RATIO, OTHERS = 20.0, 2.0, 0.05
 #: Examples of a block of the index; neighbours that vote; weight of the prior among them; rows that calibrate.
-BLOCK, NEIGHBOURS, PRIOR, CALIBRATED = 64, 25, 0.5, 4_000
+BLOCK, NEIGHBOURS, PRIOR, CALIBRATED = 64, 25, 0.5, 1_000
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -54,15 +53,21 @@ class Vocabulary(dict):
             self[word] = got
         return got
 
-    def counts(self, text: str | None) -> Counter:
-        """How often each known term occurs in a whole text."""
-        out: Counter = Counter()
-        found = WORD.findall((text or "").lower())
-        for w in filter(self.__getitem__, set(found)):
-            n = found.count(w)
-            for i in self[w]:
-                out[i] += n
-        return out
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of a whole text, ascending, and how often each occurs."""
+        pairs = [(i, n) for w, n in Counter(WORD.findall((text or "").lower())).items() for i in self[w]]
+        if not pairs:
+            return np.zeros(0, np.int64), np.zeros(0)
+        terms, times = np.array(pairs, np.int64).T
+        known, which = np.unique(terms, return_inverse=True)
+        return known, np.bincount(which, times)
+
+
+def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and the range of each."""
+    n = end - begin
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) + (begin - np.cumsum(n) + n)[owner], owner
 
 
 class Index:
@@ -76,15 +81,15 @@ class Index:
         example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in vectors])
         weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.example, self.weight = example[order].astype(np.int32), weight[order]
         self.blocks = -(-len(rows) // BLOCK)
-        # postings are cut by term and block: where each cut begins, and its largest weight
+        # postings are cut by term and block: per cut, its block, where it begins, and its largest weight; per term, its cuts
         key = term[order] * max(self.blocks, 1) + self.example // BLOCK
-        self.cut = np.searchsorted(key, np.arange(len(idf) * max(self.blocks, 1) + 1))
-        self.most = np.zeros(len(idf) * max(self.blocks, 1))
-        np.maximum.at(self.most, key, self.weight)
-        self.most = self.most.reshape(len(idf), -1)
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+        self.block = (key[begin] % max(self.blocks, 1)).astype(np.int32)
+        self.begin = np.append(begin, len(key))
+        self.most = np.maximum.reduceat(self.weight, begin) if len(key) else self.weight
+        self.first = np.searchsorted(key[begin] // max(self.blocks, 1), np.arange(len(idf) + 1))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -92,30 +97,33 @@ class Index:
         return (terms, w / size) if size else (terms[:0], w[:0])
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine, and the cosines; ties to the earlier example. Blocks are read in order of their
-        bounds, until the k-th cosine found is above the next bound."""
+        """The k examples of largest cosine, and the cosines; ties to the earlier example. Blocks with the largest bounds are read
+        first, then those whose bound isn't under the k-th cosine found."""
         terms, w = self.vector(terms, counts)
         if not len(terms) or not self.blocks:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.most[terms]
+        cuts, owner = ranges(self.first[terms], self.first[terms + 1])
+        if not len(cuts):
+            return np.zeros(0, np.int64), np.zeros(0)
+        share, block = w[owner], self.block[cuts]
+        bound = np.bincount(block, share * self.most[cuts], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        a, step = 0, 8
-        while a < len(order) and (len(ids) < k or scores[k - 1] <= bound[order[a]] + 1e-12):
-            blocks = order[a : a + step]
-            key = (terms[:, None] * self.blocks + blocks).ravel()
-            begin = self.cut[key]
-            size = self.cut[key + 1] - begin
-            at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
-            place = np.repeat(np.tile(np.arange(len(blocks)), len(terms)), size) * BLOCK + self.example[at] % BLOCK
-            score = np.bincount(place, np.repeat(np.repeat(w, len(blocks)), size) * self.weight[at], len(blocks) * BLOCK)
-            some = np.flatnonzero(score)
-            new = blocks[some // BLOCK] * BLOCK + some % BLOCK
-            ids, scores = np.concatenate([ids, new[new != but]]), np.concatenate([scores, score[some][new != but]])
-            first = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[first], scores[first]
-            a, step = a + step, 2 * step
+        read, todo = np.zeros(self.blocks, bool), order[:4]
+        while len(todo):
+            now = np.zeros(self.blocks, bool)
+            now[todo] = True
+            some = now[block]
+            at, of = ranges(self.begin[cuts[some]], self.begin[cuts[some] + 1])
+            score = np.bincount(self.example[at], share[some][of] * self.weight[at], len(self.labels))
+            new = np.flatnonzero(score)
+            new = new[new != but]
+            ids, scores = np.concatenate([ids, new]), np.concatenate([scores, score[new]])
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
+            read |= now
+            least = scores[k - 1] if len(ids) >= k else 0.0
+            todo = np.flatnonzero(~read & (bound > 0) & (bound + 1e-12 >= least))
         return ids, scores
 
 
@@ -175,14 +183,17 @@ def held_out(doc_id="doc_id"):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted, neighbours (labelled doc_ids, nearest first) and terms found, for every document.
+    """doc_id, held_out, score, predicted, neighbours (labelled doc_ids, nearest first) and terms that go with the label, for
+    every document.
 
     Learns from labels.toxic of rows that aren't held out: up to LABELLED of each class, the bound that lets them be sent to
-    all tasks. Terms are words and their stems whose presence goes with the label; their document frequencies are counted
-    over all documents. Examples form the index; each document's whole text is searched for its NEIGHBOURS nearest, whose
-    votes count by cosine and by the true share of their class, and are calibrated on examples judged without themselves.
-    A text without known terms, such as a null or empty one, has the share of toxic among such examples. Repeated ids have
-    their largest label; without labels of both classes every score is the share of toxic labels.
+    all tasks, and of these up to EXAMPLES in the index. Terms are all words of the examples, and those words and stems whose
+    presence goes with the label; document frequencies are counted over all documents. Weights are TF-IDF, times OTHERS for
+    terms that don't go with the label. Each document's whole text is searched, by exact cosine over all terms, for its
+    NEIGHBOURS nearest, whose votes count by cosine and by the true share of their class, and are calibrated on examples judged
+    without themselves. A text without known terms, such as a null or empty one, gets the share of toxic labels. Repeated ids
+    have their largest label; repeated rows are scored each, alike; without labels of both classes every score is the share of
+    toxic labels; an empty table gives no rows. Counting and searching take time in proportion to a text's different words.
     """
     docs = documents(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
@@ -212,12 +223,28 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     classes = labelled.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
     n0, n1 = int(classes[0] or 0), int(classes[1] or 0)
     c0, c1 = F.col("c0").cast("double"), F.col("c1").cast("double")
-    chosen = []
+    strong, chosen, rows = set(), [], []
     if n0 and n1:
         chi = (n0 + n1) * F.pow(c1 * (n0 - c0) - c0 * (n1 - c1), 2) / (F.lit(float(n0)) * n1 * (c0 + c1) * (n0 + n1 - c0 - c1))
         ratio = ((c1 + 0.5) / (n1 + 1)) / ((c0 + 0.5) / (n0 + 1))
-        near = counted.filter((c0 + c1 >= 3) & (c0 + c1 < n0 + n1)).withColumn("chi", chi).filter((F.col("chi") >= CHI_SQUARE) & ((ratio >= RATIO) | (ratio <= 1 / RATIO)))
-        chosen = sorted(r.term for r in near.orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect())
+        near = counted.filter((c0 + c1 >= 3) & (c0 + c1 < n0 + n1)).filter((chi >= CHI_SQUARE) & ((ratio >= RATIO) | (ratio <= 1 / RATIO)))
+        strong = {r.term for r in near.select("term").collect()}
+
+        def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = []
+                for text in batch["text"].to_pylist():
+                    bag: Counter = Counter()
+                    for w, n in Counter(WORD.findall((text or "").lower())).items():
+                        for t in word_terms(w):
+                            if t == w or t in strong:
+                                bag[t] += n
+                    got.append(bag)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array([list(b) for b in got], pa.list_(pa.string())), pa.array([list(b.values()) for b in got], pa.list_(pa.float64()))], names=["doc_id", "toxic", "terms", "counts"])
+
+        examples = [labelled.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES) for c in (0, 1)]
+        rows = [r for r in examples[0].unionByName(examples[1]).mapInArrow(bags, "doc_id long, toxic int, terms array<string>, counts array<double>").collect() if r.terms]
+        chosen = sorted(strong.union(*(r.terms for r in rows)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, n, total = Vocabulary(chosen), np.zeros(len(chosen) + 1, np.int64), 0
@@ -235,27 +262,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
         df[found["term"].to_numpy()] = found["n"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(chosen)
-        for batch in batches:
-            got = [arrays(vocabulary.counts(t)) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array([t for t, _ in got], pa.list_(pa.int64())), pa.array([n for _, n in got], pa.list_(pa.float64()))], names=["doc_id", "toxic", "terms", "counts"])
-
     model = None
-    if chosen:
-        vectored = cut(labelled.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, counts array<double>").withColumn("some", F.size("terms") > 0), "toxic-examples", narrow=True)
-        seen = vectored.select("doc_id", "toxic", "some", "terms", "counts").filter("some").orderBy(F.xxhash64("doc_id"), "doc_id")
-        rows = [r for c in (0, 1) for r in seen.filter(F.col("toxic") == c).limit(EXAMPLES).collect()]
-        rows.sort(key=lambda r: (r.terms[0], len(r.terms), r.doc_id))  # alike examples share blocks
-        labels_of = np.array([r.toxic for r in rows])
-        weights = (sizes[0] / n0, sizes[1] / n1)
-        some = {r.toxic: r["count"] for r in vectored.filter("some").groupBy("toxic").count().collect()}
-        without = [(n - some.get(c, 0)) * weights[c] for c, n in ((0, n0), (1, n1))]
-        own = [(some.get(c, 0) / max(1, int((labels_of == c).sum()))) * weights[c] for c in (0, 1)]
-        index = Index(idf, [(np.array(r.terms, np.int64), np.array(r.counts, float)) for r in rows], labels_of, [r.doc_id for r in rows])
-        model = Votes(index, tuple(own), (without[1] + prior) / (sum(without) + 1), prior)
+    labels_of = np.array([r.toxic for r in rows], np.int64)
+    if len(set(labels_of.tolist())) == 2:
+        number = {t: i for i, t in enumerate(chosen)}
+        idf = idf * np.array([1.0 if t in strong else OTHERS for t in chosen])
+        found = [arrays(Counter({number[t]: n for t, n in zip(r.terms, r.counts, strict=True)})) for r in rows]
+        heaviest = [int(t[np.argmax(idf[t])]) for t, _ in found]
+        order = sorted(range(len(rows)), key=lambda i: (heaviest[i], len(found[i][0]), rows[i].doc_id))  # alike examples share blocks
+        found, labels_of = [found[i] for i in order], labels_of[order]
+        own = [sizes[c] / int((labels_of == c).sum()) for c in (0, 1)]
+        model = Votes(Index(idf, found, labels_of, [rows[i].doc_id for i in order]), tuple(own), prior, prior)
         pick = np.unique(np.linspace(0, len(rows) - 1, min(CALIBRATED, len(rows))).astype(int))
-        shares = np.array([model.share(np.array(rows[i].terms, np.int64), np.array(rows[i].counts, float), i)[0] for i in pick.tolist()])
+        shares = np.array([model.share(*found[i], i)[0] for i in pick.tolist()])
         if len(set(labels_of[pick].tolist())) == 2:
             model.calibrate(shares, labels_of[pick])
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -272,16 +291,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
                         near.append([])
                         terms.append([])
                         continue
-                    t, n = arrays(vocabulary.counts(text))
+                    t, n = vocabulary.counts(text)
                     key = t.tobytes() + n.tobytes()
                     if key not in done:
                         if len(done) > 50_000:
                             done.clear()
                         share, found = votes.share(t, n)
-                        done[key] = votes.score(share), [votes.index.ids[i] for i in found[:5].tolist()]
+                        done[key] = votes.score(share), [votes.index.ids[i] for i in found.tolist()]
                     scores.append(done[key][0])
                     near.append(done[key][1])
-                    terms.append([chosen[i] for i in t[:20].tolist()])
+                    terms.append([chosen[i] for i in t.tolist() if chosen[i] in strong])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))], names=["doc_id", "score", "predicted", "neighbours", "terms"])
 
     judged = docs.mapInArrow(judge, "doc_id long, score double, predicted int, neighbours array<long>, terms array<string>")
