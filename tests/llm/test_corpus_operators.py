@@ -397,6 +397,76 @@ def test_quality(spark, docs, labels, rows):
     assert quality.quality_scores(docs, labels.filter("quality = 1")).toPandas().posterior.between(0, 1).all()
 
 
+def test_quality_posteriors_are_the_plain_ones(spark, docs, labels):
+    """The query's host, path and document posteriors against sums made one document at a time."""
+    got = quality.quality_scores(docs.unionByName(docs.filter("doc_id < 9")), labels).join(docs.select("doc_id", "source", "lang"), "doc_id").collect()
+    good = [r.quality for r in labels.join(docs, "doc_id").collect() if r.quality in (0, 1)]
+    base = np.log((sum(good) + 1) / (len(good) + 2)) - np.log(1 - (sum(good) + 1) / (len(good) + 2))
+    p = [1 / (1 + np.exp(-r.evidence)) for r in got]
+    site = [((r.source or ""), (r.lang or "")) for r in got]
+    paths, hosts = {}, {}
+    for x, (h, q) in zip(p, site, strict=True):
+        for d, key in ((paths, (h, q)), (hosts, h)):
+            s, n = d.get(key, (0.0, 0))
+            d[key] = (s + x, n + 1)
+    mean = min(max(sum(p) / len(p), 1e-4), 1 - 1e-4)
+
+    def strength(groups):
+        within = sum(m0 * (1 - m0) for _, _, m0 in groups)
+        between = sum(n * (m - m0) ** 2 for n, m, m0 in groups)
+        size = sum(n for n, _, _ in groups)
+        excess = max((between - within) / max(size - len(groups), 1.0), 1e-9)
+        return min(max(within / max(len(groups), 1) / excess - 1, 1.0), quality.STRONGEST)
+
+    k_host = strength([(n, s / n, mean) for s, n in hosts.values()])
+    of_host = {h: (s + k_host * mean) / (n + k_host) for h, (s, n) in hosts.items()}
+    k_path = strength([(n, s / n, of_host[h]) for (h, _), (s, n) in paths.items()])
+    clip = lambda v: min(max(v, 1e-6), 1 - 1e-6)
+    for r, x, (h, q) in zip(got, p, site, strict=True):
+        host = clip((hosts[h][0] - x + k_host * mean) / (hosts[h][1] - 1 + k_host))
+        path = clip((paths[h, q][0] - x + k_path * host) / (paths[h, q][1] - 1 + k_path))
+        posterior = 1 / (1 + np.exp(-(r.evidence - base + np.log(path / (1 - path)))))
+        assert np.allclose([r.host_posterior, r.path_posterior, r.posterior], [host, path, posterior], rtol=1e-7)
+        assert r.keep == (r.posterior >= quality.KEEP)
+
+
+def test_toxicity_is_the_plain_search(spark, monkeypatch):
+    """The query's neighbours against all cosines over all terms; repeated rows score alike."""
+    import random
+
+    rng = random.Random(3)
+    words_ = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words_) for _ in range(12)) + (" nasty vile" if i % 3 == 0 else "") for i in range(240)]
+    df = spark.createDataFrame([*enumerate(texts), (5, texts[5]), (900, ""), (901, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    got = toxicity.toxicity(df, marks).collect()
+    learnt = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 != 1]
+    bags = [toxicity.Counter(t.split()) for t in texts]
+    strong = {t for r in got for t in r.terms}
+    assert {"nasty", "vile"} <= strong
+    terms = {t for i in learnt for t in bags[i]}
+    n = len(texts) + 3
+    seen = toxicity.Counter(t for b in [*bags, bags[5]] for t in b)
+    weight = {t: (np.log((1 + n) / (1 + seen[t])) + 1) * (1 if t in strong else toxicity.OTHERS) for t in terms}
+
+    def vector(b):
+        v = {t: (1 + np.log(c)) * weight[t] for t, c in b.items() if t in terms}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    known = {i: vector(bags[i]) for i in learnt}
+    for r in got:
+        if r.doc_id < 900:
+            own = vector(bags[r.doc_id])
+            cosine = {i: sum(x * v.get(t, 0) for t, x in own.items()) for i, v in known.items()}
+            want = sorted(cosine.values(), reverse=True)[: toxicity.NEIGHBOURS]
+            assert np.allclose([cosine[i] for i in r.neighbours], [c for c in want if c > 0], atol=1e-9)
+    score = {}
+    for r in got:
+        assert score.setdefault(r.doc_id, r.score) == r.score
+    assert score[900] == score[901]
+
+
 def test_sparse_sites_shrink(spark):
     """A site of one bad document is nearer to the global mean than a site of many."""
     text = {1: "The river runs past the old stone house. " * 4, 0: "BUY!! NOW!! $$$ ### " * 4}

@@ -126,8 +126,8 @@ def chain_links(key: np.ndarray, turned: np.ndarray, budget: list[tuple[np.uint6
     that its chain begins at bit 0; budget has, per chain length, the mask of the chain and the differing bits it may have.
 
     Runs of up to `dense` rows are compared in full, all runs at a time. In a longer run, a search from each row in turn
-    compares what has been reached with what has not, so that it gives a spanning forest and stops as soon as all hangs
-    together; it never holds all pairs.
+    compares, by the same budgets, what has been reached with what has not, so that it gives a spanning forest and stops as
+    soon as all hangs together; it never holds all pairs.
     """
     n = len(key)
     new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -153,7 +153,10 @@ def chain_links(key: np.ndarray, turned: np.ndarray, budget: list[tuple[np.uint6
             todo, rows = [rows[0]], rows[1:]
             while todo and len(rows):
                 at = todo.pop()
-                near = np.bitwise_count(turned[rows] ^ turned[at]) <= distance
+                x = turned[rows] ^ turned[at]
+                near = np.bitwise_count(x) <= distance
+                for mask, most in budget:
+                    near &= np.bitwise_count(x & mask) <= most
                 if near.any():
                     got = rows[near]
                     rows = rows[~near]
