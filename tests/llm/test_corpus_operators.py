@@ -444,6 +444,11 @@ def test_toxicity_is_the_plain_search(spark, monkeypatch):
     bags = [toxicity.Counter(t.split()) for t in texts]
     strong = {t for r in got for t in r.terms}
     assert {"nasty", "vile"} <= strong
+    for b in bags:
+        for w, c in list(b.items()):
+            for t in toxicity.word_terms(w):
+                if t != w and t in strong:
+                    b[t] += c
     terms = {t for i in learnt for t in bags[i]}
     n = len(texts) + 3
     seen = toxicity.Counter(t for b in [*bags, bags[5]] for t in b)
