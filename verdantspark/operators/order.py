@@ -33,10 +33,15 @@ def kfold_assign(df: DataFrame, order: str, k: int = 5) -> DataFrame:
     return row_index(df, order).withColumn("fold", fold.cast("int")).drop("row_index")
 
 
+#: Rows that a sample may have to be sent to all tasks; a larger one is joined.
+SENT_SAMPLE = 100_000
+
+
 def sample_flag(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
-    """df with a flag on n rows, those of the smallest hashes of their key; n is small."""
-    picked = df.select(key).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).withColumn("save_sample", F.lit(True))
-    return df.join(F.broadcast(picked), key, "left").withColumn("save_sample", F.coalesce("save_sample", F.lit(False)))
+    """df with a flag on n rows, those with the smallest MD5 of their key and the seed; ties to the smaller key."""
+    chance = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    picked = df.select(key).orderBy(chance, key).limit(n).withColumn("save_sample", F.lit(True))
+    return df.join(F.broadcast(picked) if n <= SENT_SAMPLE else picked, key, "left").withColumn("save_sample", F.coalesce("save_sample", F.lit(False)))
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

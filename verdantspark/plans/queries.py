@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, masks
-from ..operators import images, metrics, models, network, order, roads, spatial
+from ..functions import geo, masks, text
+from ..operators import exposure, images, metrics, models, network, order, roads, spatial
 from ..sources import tables
 from ..sources.adapters import VIEWS, view, with_views
 
@@ -161,19 +160,18 @@ def world_mercator(spark, d):
 @query("select l_orderkey, l_linenumber, round((nir - red) / nullif(nir + red, 0), 9) as ndvi from v_bands")
 def ndvi_band_math(spark, d):
     b = view(spark, d, "v_bands")
-    return b.select("l_orderkey", "l_linenumber", F.round(F.try_divide(F.col("nir") - F.col("red"), F.col("nir") + F.col("red")), 9).alias("ndvi"))
+    return b.select("l_orderkey", "l_linenumber", F.round(text.ndvi(F.col("nir"), F.col("red")), 9).alias("ndvi"))
 
 
 @query("select cell_id, case when ndvi is not null then greatest(ndvi, 0e0) end as ndvi from v_raster")
 def ndvi_clamp(spark, d):
-    return view(spark, d, "v_raster").select("cell_id", F.when(F.col("ndvi").isNotNull(), F.greatest("ndvi", F.lit(0.0))).alias("ndvi"))
+    return view(spark, d, "v_raster").select("cell_id", text.ndvi_clamp(F.col("ndvi")).alias("ndvi"))
 
 
 @query("with p(cls, r, g, b) as (values " + ", ".join(map(str, masks.PALETTE)) + ") select cls, r, g, b, count(*) as pixels from (select unnest(mask) as c from v_masks) m join p on p.cls = m.c group by 1, 2, 3, 4")
 def class_palette(spark, d):
-    palette = spark.createDataFrame(list(masks.PALETTE), "cls int, r int, g int, b int")
     pixels = view(spark, d, "v_masks").select(F.explode("mask").alias("cls")).groupBy("cls").agg(F.count("*").alias("pixels"))
-    return pixels.join(F.broadcast(palette), "cls").select("cls", "r", "g", "b", "pixels")
+    return exposure.class_colours(pixels).select("cls", "r", "g", "b", "pixels")
 
 
 @query("select id, round((3 + id % 5) * 1000 / 60e0, 6) as pace, round((3 + id % 5) * 1000 / 60e0 * (5 + id % 20) * 1.25e0, 6) as buffer from v_gvi")
@@ -371,11 +369,6 @@ def row_numbers(spark, d):
     return order.row_index(view(spark, d, "v_gvi").select("id"), "id", name="seq")
 
 
-@query()
-def sample_flag(spark, d):
-    return order.sample_flag(view(spark, d, "v_gvi").select("id"), 100)
-
-
 @query("select id, cast(ntile(5) over (order by id) as integer) as fold from v_gvi where not missing")
 def kfold_assign(spark, d):
     return order.kfold_assign(view(spark, d, "v_gvi").filter("not missing").select("id"), "id")
@@ -481,11 +474,6 @@ def isochrone_polygon(spark, d):
     return network.isochrone_members(network.ego_graph(origins, nodes, edges, 400.0), edges, places)
 
 
-@query("select o_orderkey % 7 as file, cast(o_orderkey as varchar) as id from orders")
-def csv_union(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet")
-    parts = [o.filter(F.col("o_orderkey") % 7 == k).select((F.col("o_orderkey") % 7).alias("file"), F.col("o_orderkey").cast("string").alias("id")) for k in range(7)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
+from . import exposure_queries  # noqa: E402, F401  registers more queries
 
 __all__ = ["ORACLES", "QUERIES", "VIEWS"]
