@@ -28,6 +28,8 @@ def cv_rmse_r2(folded: DataFrame, x: str, y: str) -> DataFrame:
 
     One aggregate per fold is enough: the other folds' sums are the total's less its own.
     """
+    mean = folded.agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))  # one row; far from the mean, sums of squares would cancel
+    folded = folded.join(F.broadcast(mean)).withColumn(x, F.col(x) - F.col("_mx")).withColumn(y, F.col(y) - F.col("_my"))
     sums = {"n": F.count("*"), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(F.col(x) * F.col(x)), "sxy": F.sum(F.col(x) * F.col(y)), "syy": F.sum(F.col(y) * F.col(y))}
     own = folded.groupBy("fold").agg(*[v.alias(k) for k, v in sums.items()])
     both = own.join(F.broadcast(own.agg(*[F.sum(k).alias(f"t{k}") for k in sums])))
@@ -91,7 +93,7 @@ FAMILIES = {
 
 @dataclass
 class Gam:
-    """A fitted model: an intercept and a spline."""
+    """A fitted model: an intercept and a spline. `logs` has, for each round of the fit, its deviance and its step."""
 
     spline: Spline
     coef: np.ndarray
@@ -99,6 +101,7 @@ class Gam:
     covariance: np.ndarray
     statistics: dict = field(default_factory=dict)
     expectile: float | None = None
+    logs: dict = field(default_factory=dict)
 
     def matrix(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.ones(len(x)), self.spline.basis(x)])
@@ -107,17 +110,42 @@ class Gam:
         return FAMILIES[self.family][1](self.matrix(x) @ self.coef)
 
     def intervals(self, x: np.ndarray, width: float = 0.95, prediction: bool = False) -> np.ndarray:
-        """Lower and upper bounds of the mean, or of new values, by the normal quantile."""
+        """Lower and upper bounds of the mean, or of new values: by the normal quantile where the scale is known, else by
+        Student's."""
+        return self.quantiles(x, [(1 - width) / 2, (1 + width) / 2], prediction)
+
+    def quantiles(self, x: np.ndarray, shares: list[float], prediction: bool = False) -> np.ndarray:
         b = self.matrix(x)
         var = np.einsum("ij,jk,ik->i", b, self.covariance, b) + (self.statistics["scale"] if prediction else 0)
-        z = math.sqrt(2) * _erfinv(width)
+        free = None if self.family in KNOWN_SCALE else self.statistics["n"] - self.statistics["edof"]
         eta = b @ self.coef
-        return FAMILIES[self.family][1](np.column_stack([eta - z * np.sqrt(var), eta + z * np.sqrt(var)]))
+        return FAMILIES[self.family][1](np.column_stack([eta + student_quantile(q, free) * np.sqrt(var) for q in shares]))
 
-    def partial_dependence(self, n: int = 100) -> tuple[np.ndarray, np.ndarray]:
-        """A grid of the feature and the spline's part of the linear predictor on it."""
+    def partial_dependence(self, n: int = 100, term: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """A grid of the feature and a term's part of the linear predictor on it: 0 is the intercept, 1 the spline."""
         x = np.linspace(self.spline.low, self.spline.high, n)
-        return x, self.spline.basis(x) @ self.coef[1:]
+        return x, np.full(n, self.coef[0]) if term == 0 else self.spline.basis(x) @ self.coef[1:]
+
+    def standard_errors(self) -> np.ndarray:
+        return np.sqrt(np.maximum(np.diag(self.covariance), 0))
+
+    def p_values(self) -> dict[str, float]:
+        """Wald's test of each term, the spline's coefficients centred: by chi-square where the scale is known, else by F."""
+        out = {}
+        for name, at in (("intercept", slice(0, 1)), ("spline", slice(1, None))):
+            coef, cov = self.coef[at], self.covariance[at, at]
+            coef = coef - coef.mean() if name == "spline" else coef
+            u, sv, vt = np.linalg.svd(cov)
+            keep = sv > sv.max(initial=0) * max(cov.shape) * np.finfo(float).eps
+            rank = int(keep.sum())
+            score = float(coef @ (vt[keep].T / sv[keep]) @ u[:, keep].T @ coef)
+            free = self.statistics["n"] - self.statistics["edof"]
+            out[name] = chi2_above(score, rank) if self.family in KNOWN_SCALE else f_above(score / max(rank, 1), rank, free)
+        return out
+
+    def summary(self) -> list[tuple[str, float]]:
+        """Names and values of all statistics, and the terms' tests."""
+        return [*((k, float(v)) for k, v in self.statistics.items()), *((f"p_value_{k}", v) for k, v in self.p_values().items())]
 
     def sample(self, x: np.ndarray, draws: int, seed: int = 0) -> np.ndarray:
         """Means under coefficients drawn from their approximate posterior."""
@@ -125,85 +153,241 @@ class Gam:
         return FAMILIES[self.family][1](self.matrix(x) @ rng.multivariate_normal(self.coef, self.covariance, draws).T)
 
 
-def _erfinv(p: float) -> float:
-    low, high = 0.0, 6.0
-    for _ in range(80):
+#: Families whose scale is 1, not estimated.
+KNOWN_SCALE = ("binomial", "poisson")
+
+
+def gamma_below(a: float, x: float) -> float:
+    """The regularised lower incomplete gamma function: its series, or beyond a + 1 its continued fraction."""
+    if x <= 0:
+        return 0.0
+    head = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while abs(term) > 1e-17 * abs(total):
+            k += 1
+            term *= x / k
+            total += term
+        return head * total
+    return 1 - head * _fraction(lambda i: x + 2 * i + 1 - a, lambda i: -i * (i - a))
+
+
+def beta_below(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_below(b, a, 1 - x)
+
+    def step(i: int) -> float:
+        m = i // 2
+        return m * (b - m) * x / ((a + i - 1) * (a + i)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + i - 1) * (a + i))
+
+    head = math.exp(a * math.log(x) + b * math.log(1 - x) - math.lgamma(a) - math.lgamma(b) + math.lgamma(a + b)) / a
+    return head * _fraction(lambda i: 1.0, step)
+
+
+def _fraction(b, a) -> float:
+    """1 / (b(0) + a(1) / (b(1) + a(2) / ...)), evaluated from the front."""
+    tiny = 1e-300
+    f = b(0) or tiny
+    c, d = f, 0.0
+    for i in range(1, 10_000):
+        d = 1 / ((b(i) + a(i) * d) or tiny)
+        c = b(i) + a(i) / c or tiny
+        f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return 1 / f
+
+
+def chi2_above(x: float, free: float) -> float:
+    return 1 - gamma_below(free / 2, x / 2) if free > 0 else 1.0
+
+
+def f_above(x: float, free: float, rest: float) -> float:
+    return beta_below(rest / 2, free / 2, rest / (rest + free * x)) if x > 0 and free > 0 and rest > 0 else 1.0
+
+
+def student_quantile(share: float, free: float | None) -> float:
+    """The quantile of Student's distribution, of the normal one without degrees of freedom; by bisection."""
+    if share < 0.5:
+        return -student_quantile(1 - share, free)
+    below = (lambda t: (1 + math.erf(t / math.sqrt(2))) / 2) if free is None else (lambda t: 1 - beta_below(free / 2, 0.5, free / (free + t * t)) / 2)
+    low, high = 0.0, 1.0
+    while below(high) < share and high < 1e12:
+        high *= 2
+    for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if math.erf(mid) < p else (low, mid)
+        low, high = (mid, high) if below(mid) < share else (low, mid)
     return low
 
 
-def _gram(rows: DataFrame, x: str, y: str, spline: Spline, family: str, coef: np.ndarray | None, expectile: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted Gram matrix, right-hand side and (n, sum y, sum y^2, deviance, sum of weights) at coef: sums of every task's own."""
-    link, inverse, slope, variance, deviance = FAMILIES[family]
+def log_likelihood(family: str, s: dict[str, float], scale: float) -> float:
+    """From a family's sums (see _sums) and its scale. The normal one is at its own best scale."""
+    n = s["n"]
+    if family == "normal":
+        return -n / 2 * (math.log(2 * math.pi * max(s["deviance"] / n, 1e-300)) + 1)
+    if family == "binomial":
+        return -s["deviance"] / 2
+    if family == "poisson":
+        return s["y_log_m"] - s["m"] - s["lgamma"]
+    if family == "gamma":
+        nu = 1 / scale
+        return n * (nu * math.log(nu) - math.lgamma(nu)) + nu * s["log_ratio"] - nu * s["ratio"] - s["log_y"]
+    return -n / 2 * math.log(2 * math.pi * scale) - 1.5 * s["log_y"] - s["deviance"] / (2 * scale)
+
+
+def _start(family: str, v: np.ndarray) -> np.ndarray:
+    """Means to begin with: near the values, inside the family's range."""
+    return np.zeros(len(v)) if family == "normal" else (v + 0.5) / 2 if family == "binomial" else np.maximum(v, 0.1)
+
+
+def _added(rows: DataFrame, columns: list[str], of, size: int) -> np.ndarray:
+    """The sum over all rows of a vector that `of` makes of arrays of the columns; every task adds up its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = spline.n + 1
-        total = np.zeros(m * m + m + 5)
+        total = np.zeros(size)
         for b in batches:
             if b.num_rows:
-                u, v = b[0].to_numpy(zero_copy_only=False), b[1].to_numpy(zero_copy_only=False)
-                base = np.column_stack([np.ones(len(u)), spline.basis(u)])
-                if coef is None:
-                    mu = np.full(len(v), 0.0) if family == "normal" else (v + 0.5) / 2 if family == "binomial" else np.maximum(v, 0.1)
-                    eta = mu if family == "normal" else link(mu)
-                else:
-                    eta = base @ coef
-                    mu = inverse(eta)
-                w = 1 / (slope(mu) ** 2 * variance(mu))
-                if expectile is not None and coef is not None:
-                    w = w * np.where(v > mu, expectile, 1 - expectile)
-                z = eta + slope(mu) * (v - mu)
-                g, r = (base * w[:, None]).T @ base, base.T @ (w * z)
-                total += np.concatenate([g.ravel(), r, [len(v), v.sum(), (v * v).sum(), deviance(v, mu).sum(), w.sum()]])
-        yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(total))), "v": total})
-
-    got = rows.select(F.col(x).cast("double"), F.col(y).cast("double")).na.drop().mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toPandas()["v"].to_numpy()
-    m = spline.n + 1
-    return got[: m * m].reshape(m, m), got[m * m : m * m + m], got[m * m + m :]
-
-
-def fit_gam(rows: DataFrame, x: str, y: str, splines: int = 25, lams: np.ndarray | None = None, family: str = "normal", expectile: float | None = None, tol: float = 1e-4, rounds: int = 100) -> Gam:
+                total += of(*(c.to_numpy(zero_copy_only=False) for c in b.columns))
+        yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(size)), "v": total})
+
+    clean = rows.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).na.drop()
+    got = clean.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[got["k"].to_numpy()] = got["v"].to_numpy()
+    return out
+
+
+def _grams(rows: DataFrame, columns: list[str], spline: Spline, family: str, coefs: np.ndarray | None, expectile: float | None) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Weighted Gram matrix, right-hand side and deviance at each of coefs (None: at the start), in one pass."""
+    link, inverse, slope, variance, deviance = FAMILIES[family]
+    m, n = spline.n + 1, 1 if coefs is None else len(coefs)
+
+    def of(u: np.ndarray, v: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        base, out = np.column_stack([np.ones(len(u)), spline.basis(u)]), []
+        for k in range(n):
+            mu = _start(family, v) if coefs is None else inverse(base @ coefs[k])
+            eta = link(mu) if coefs is None else base @ coefs[k]
+            w = 1 / (slope(mu) ** 2 * variance(mu)) * (1 if weight is None else weight)
+            if expectile is not None and coefs is not None:
+                w = w * np.where(v > mu, expectile, 1 - expectile)
+            z = eta + slope(mu) * (v - mu)
+            out += [((base * w[:, None]).T @ base).ravel(), base.T @ (w * z), [(deviance(v, mu) * (1 if weight is None else weight)).sum()]]
+        return np.concatenate(out)
+
+    got = _added(rows, columns, of, n * (m * m + m + 1)).reshape(n, -1)
+    return [(g[: m * m].reshape(m, m), g[m * m : m * m + m], float(g[-1])) for g in got]
+
+
+#: Sums from which statistics are made.
+SUMS = ("n", "pearson", "deviance", "null_deviance", "right", "y_log_m", "m", "lgamma", "log_ratio", "ratio", "log_y")
+
+
+def _sums(rows: DataFrame, columns: list[str], model: Gam, mean: float) -> tuple[dict[str, float], dict[str, float]]:
+    """SUMS at the model's means, and at the mean of all values."""
+    _, _, _, variance, deviance = FAMILIES[model.family]
+    lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+    def of(u: np.ndarray, v: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        out, w = [], np.ones(len(v)) if weight is None else weight
+        for mu in (model.predict(u), np.full(len(v), mean)):
+            count, rate = v * w if weight is not None else v, mu * w if weight is not None else mu  # with exposures, rates again are counts
+            safe, low = np.maximum(mu, _EPS), np.maximum(v, _EPS)
+            out += [len(v), (w * (v - mu) ** 2 / variance(safe)).sum(), (w * deviance(v, safe)).sum(), 0.0, ((mu > 0.5) == (v > 0.5)).sum()]
+            out += [(count * np.log(np.maximum(rate, _EPS))).sum(), rate.sum(), lgamma(np.maximum(count, 0) + 1).sum() if model.family == "poisson" else 0.0]
+            out += [np.log(low / safe).sum(), (v / safe).sum(), np.log(low).sum()]
+        return np.array(out, float)
+
+    got = _added(rows, columns, of, 2 * len(SUMS))
+    at, null = (dict(zip(SUMS, part.tolist(), strict=True)) for part in got.reshape(2, -1))
+    return at | {"null_deviance": null["deviance"]}, null
+
+
+def fit_gam(rows: DataFrame, x: str, y: str, splines: int = 25, lams: np.ndarray | None = None, family: str = "normal", expectile: float | None = None, tol: float = 1e-4, rounds: int = 100, weight: str | None = None) -> Gam:
     """Fit by penalised least squares, for other families than normal iterated, for each penalty; the first penalty with the
-    smallest generalised cross-validation (binomial and poisson: unbiased risk) wins.
+    smallest generalised cross-validation (binomial and poisson: unbiased risk) wins. `weight` names a column of row weights.
 
-    Data are only ever summed into matrices as large as the basis; the normal family needs one pass for all penalties.
+    Data are only ever summed into matrices as large as the basis. A pass over the rows serves all penalties that have not
+    converged; the normal family needs one. A penalty whose system can't be solved is left out; if none is left, it raises.
     """
-    ends = rows.agg(F.min(x), F.max(x)).first()
-    if ends[0] is None:
+    columns = [x, y] + ([weight] if weight else [])
+    known = rows.select(*columns).na.drop()
+    first = known.agg(F.min(x), F.max(x), F.count("*"), F.avg(y) if weight is None else F.try_divide(F.sum(F.col(y) * F.col(weight)), F.sum(weight))).first()
+    if first[0] is None:
         raise ValueError("there are no rows to fit")
-    spline = Spline(float(ends[0]), float(ends[1]), splines)
+    n, mean, spline = first[2], float(first[3]), Spline(float(first[0]), float(first[1]), splines)
     penalty = np.zeros((splines + 1, splines + 1))
     penalty[1:, 1:] = spline.penalty()
-    lams = np.logspace(-5, 5, 20) if lams is None else np.asarray(lams)
-    best, coef = None, None
-    start = _gram(rows, x, y, spline, family, None, None)
-    for lam in lams:
-        g, r, s = start
-        ridge = lam * penalty + math.sqrt(np.finfo(float).eps) * np.eye(splines + 1)
-        now = coef
-        for _ in range(1 if family == "normal" and expectile is None else rounds):
-            if now is not None and not (family == "normal" and expectile is None):
-                g, r, s = _gram(rows, x, y, spline, family, now, expectile)
-            new = np.linalg.solve(g + ridge, r)
-            done = now is not None and np.linalg.norm(new - now) < tol * max(np.linalg.norm(new), 1e-12)
-            now = new
-            if done:
-                break
-        coef = now if family != "normal" or expectile is not None else None
-        n, sy, syy = s[0], s[1], s[2]
-        inverse = np.linalg.inv(g + ridge)
-        edof = float(np.trace(inverse @ g))
-        deviance = float(syy - 2 * now @ r + now @ g @ now) if family == "normal" and expectile is None else float(_gram(rows, x, y, spline, family, now, expectile)[2][3])
-        known = family in ("binomial", "poisson")
-        scale = 1.0 if known else deviance / max(n - edof, 1e-9)
-        score = deviance / n + 2 * 1.4 * edof / n if known else n * deviance / max(n - 1.4 * edof, 1e-9) ** 2
-        if best is None or score < best.statistics["score"]:
-            loglik = -n / 2 * (math.log(2 * math.pi * max(deviance / n, 1e-300)) + 1) if family == "normal" else -deviance / 2
-            aic = -2 * loglik + 2 * edof + (2 if not known else 0)
-            stats = {"n": n, "lam": float(lam), "edof": edof, "scale": scale, "deviance": deviance, "score": score, "loglikelihood": loglik, "aic": aic, "aicc": aic + 2 * (edof + 1) * (edof + 2) / max(n - edof - 2, 1e-9), "pseudo_r2": 1 - deviance / max(syy - sy * sy / n, 1e-300)}
-            best = Gam(spline, now, family, inverse @ g @ inverse * scale, stats, expectile)
-    return best
+    lams = np.logspace(-5, 5, 20) if lams is None else np.asarray(lams, float)
+    ridge = [lam * penalty + math.sqrt(np.finfo(float).eps) * np.eye(splines + 1) for lam in lams]
+    once = family == "normal" and expectile is None
+
+    def solved(k: int, g: np.ndarray, r: np.ndarray) -> np.ndarray | None:
+        try:
+            out = np.linalg.solve(g + ridge[k], r)
+        except np.linalg.LinAlgError:
+            return None
+        return out if np.isfinite(out).all() else None
+
+    start = _grams(known, columns, spline, family, None, expectile)[0]
+    coef = {k: c for k in range(len(lams)) if (c := solved(k, *start[:2])) is not None}
+    logs: dict[int, dict[str, list]] = {k: {"deviance": [], "diffs": []} for k in coef}
+    done: dict[int, tuple] = {}
+    todo = sorted(coef)
+    for turn in range(rounds):
+        if not todo:
+            break
+        for k, (g, r, deviance) in zip(list(todo), _grams(known, columns, spline, family, np.array([coef[k] for k in todo]), expectile), strict=True):
+            new = coef[k] if once else solved(k, g, r)
+            if new is None:
+                todo.remove(k)
+                continue
+            step = float(np.linalg.norm(new - coef[k]) / max(np.linalg.norm(new), 1e-12))
+            logs[k]["deviance"].append(deviance)
+            logs[k]["diffs"].append(step)
+            done[k] = (coef[k], g, deviance)  # the matrices are those at these coefficients
+            if once or step < tol or turn == rounds - 1:
+                todo.remove(k)
+            else:
+                coef[k] = new
+    if not done:
+        raise ValueError("no penalty can be fitted")
+    best = None
+    for k in sorted(done):
+        c, g, deviance = done[k]
+        inverse = np.linalg.inv(g + ridge[k])
+        per_coef = np.diag(inverse @ g)
+        edof = float(per_coef.sum())
+        score = deviance / n + 2 + 2 * 1.4 * edof / n if family in KNOWN_SCALE else n * deviance / max(n - 1.4 * edof, 1e-9) ** 2
+        if best is None or score < best[0]:
+            best = (score, k, c, inverse, g, edof, per_coef)
+    score, k, c, inverse, g, edof, per_coef = best
+    model = Gam(spline, c, family, inverse, {}, expectile, logs[k])
+    at, null = _sums(known, columns, model, mean)
+    scale = 1.0 if family in KNOWN_SCALE else at["pearson"] / max(n - edof, 1e-9)
+    loglik, empty = log_likelihood(family, at, scale), log_likelihood(family, null, scale)
+    aic = -2 * loglik + 2 * edof + (2 if family not in KNOWN_SCALE else 0)
+    value, vector = np.linalg.eigh(g)  # the intercept and a constant spline are one direction, which the data don't determine
+    root = inverse @ (vector * np.sqrt(np.where(value > len(g) * np.finfo(float).eps * value.max(), value, 0)))
+    model.covariance = root @ root.T * scale
+    model.statistics = {
+        "n": n, "lam": float(lams[k]), "edof": edof, "edof_spline": float(per_coef[1:].sum()), "scale": scale, "deviance": at["deviance"], "score": score, "loglikelihood": loglik, "aic": aic, "aicc": aic + 2 * (edof + 1) * (edof + 2) / (n - edof - 2) if n - edof - 2 else math.inf,
+        "pseudo_r2": 1 - at["deviance"] / max(at["null_deviance"], 1e-300), "mcfadden": loglik / empty if empty else math.nan, "mcfadden_adjusted": 1 - (loglik - edof) / empty if empty else math.nan,
+    }
+    if family == "binomial":
+        model.statistics["accuracy"] = at["right"] / n
+    return model
+
+
+def fit_counts(rows: DataFrame, x: str, y: str, exposure: str | None = None, **more) -> Gam:
+    """A Poisson model of counts; with a column of exposures, of rates, each weighing as much as its exposure."""
+    if exposure is None:
+        return fit_gam(rows, x, y, family="poisson", **more)
+    rated = rows.withColumns({"_rate": F.try_divide(F.col(y), F.col(exposure)), "_exposure": F.col(exposure)})
+    return fit_gam(rated, x, "_rate", family="poisson", weight="_exposure", **more)
 
 
 def fit_quantile(rows: DataFrame, x: str, y: str, quantile: float, rounds: int = 12, **more) -> Gam:

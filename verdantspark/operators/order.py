@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import work_dir, write_layer
+
 
 def row_index(df: DataFrame, *order: str | Column, name: str = "row_index") -> DataFrame:
     """df with its 0-based position in the given order, which should be total.
 
-    Rows are range partitioned and sorted once; each partition's count gives the others' offsets, so only one row per
-    partition meets in one place. The sorted rows are kept, on disk where memory is short: both uses must see the same
-    range borders, which are sampled.
+    Rows are range partitioned, sorted and written once; each partition's count gives the others' offsets, so only one row per
+    partition meets in one place. The sorted rows are a table in the shared folder: range borders are sampled, and both uses
+    must see the same ones, also after an executor was lost.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist()
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = write_layer(placed, work_dir(spark))
     before = placed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")  # one row a partition
 
 
 def range_slice(df: DataFrame, order: str, begin: int | None, end: int | None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_buffer
+from ..sources.sinks import work_dir, write_layer
 
 
 def cell(v: Column, size: float) -> Column:
@@ -38,11 +39,13 @@ def nearest_image_join(points: DataFrame, images: DataFrame, max_distance: float
 SENT_NODES = 20_000
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, start: float, rounds: int = 24) -> DataFrame:
-    """id, node and distance of each point's nearest node, however far; ties go to the smallest node.
+def nearest_node(points: DataFrame, nodes: DataFrame, start: float) -> DataFrame:
+    """id, node and distance of each point's nearest node, however far; ties go to the smallest node. Points without both
+    coordinates drop out; without nodes there are no rows.
 
     Up to SENT_NODES nodes, a counted bound, are compared where the points are. More are met ring by ring: cells of twice the
-    side in each round, until no point is left; a node found within the side is surely nearest.
+    side in each round, until no point is left; a node found within the side is surely nearest. What is found and what is left
+    are written each round, so that no round plans the ones before anew.
     """
     few = nodes.select(F.col("node").cast("long"), F.col("x").cast("double"), F.col("y").cast("double")).orderBy("node").limit(SENT_NODES + 1).toPandas()
     if len(few) <= SENT_NODES:
@@ -59,17 +62,17 @@ def nearest_node(points: DataFrame, nodes: DataFrame, start: float, rounds: int
 
         rows = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).na.drop(subset=["x", "y"])
         return rows.mapInArrow(run, f"id {points.schema['id'].dataType.simpleString()}, node long, distance double")
-    right = nodes.select("node", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    left, done, side = points.select("id", "x", "y"), None, start
-    for _ in range(rounds):
+    right = nodes.select("node", F.col("x").alias("rx"), F.col("y").alias("ry")).na.drop()
+    left, done, side = points.select("id", "x", "y").na.drop(subset=["x", "y"]), None, start
+    while True:
         d2 = (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))
-        found = near_pairs(left, right, side).withColumn("_d2", d2).filter(F.col("_d2") <= side * side).groupBy("id").agg(F.min(F.struct("_d2", "node")).alias("_b")).select("id", F.col("_b.node").alias("node"), F.sqrt("_b._d2").alias("distance")).persist()
+        met = near_pairs(left, right, side).withColumn("_d2", d2).filter(F.col("_d2") <= side * side).groupBy("id").agg(F.min(F.struct("_d2", "node")).alias("_b"))
+        found = write_layer(met.select("id", F.col("_b.node").cast("long").alias("node"), F.sqrt("_b._d2").alias("distance")), work_dir(points.sparkSession))
         done = found if done is None else done.unionByName(found)
-        left = left.join(found.select("id"), "id", "left_anti")
+        left = write_layer(left.join(found.select("id"), "id", "left_anti"), work_dir(points.sparkSession))
         if left.isEmpty():
-            break
+            return done
         side *= 2
-    return done
 
 
 def bbox_filter(points: DataFrame, extent: DataFrame) -> DataFrame:

@@ -415,9 +415,41 @@ def gam_statistics(spark, d):
     return spark.createDataFrame([{k: float(v) for k, v in model.statistics.items()}])
 
 
+@query()
+def gam_summary(spark, d):
+    """All statistics of the imputation model, and the tests of its terms."""
+    return spark.createDataFrame(models.fit_gam(view(spark, d, "v_gvi").filter("not missing"), "mean_ndvi", "gvi").summary(), "name string, value double")
+
+
+@query()
+def poisson_exposure_gam(spark, d):
+    """Counts with exposures: the rate by mean_ndvi."""
+    rows = view(spark, d, "v_gvi").filter("not missing").withColumns({"n": F.floor(F.col("gvi") * 10).cast("double"), "exposure": 1.0 + F.col("id") % 3})
+    return models.predict(rows, models.fit_counts(rows, "mean_ndvi", "n", "exposure", lams=PENALTIES), "mean_ndvi", "rate").select("id", F.round("rate", 6).alias("rate"))
+
+
+@query()
+def quantile_gam(spark, d):
+    rows = view(spark, d, "v_gvi").filter("not missing")
+    return models.predict(rows, models.fit_quantile(rows, "mean_ndvi", "gvi", 0.8, lams=[1.0]), "mean_ndvi", "upper").select("id", F.round("upper", 6).alias("upper"))
+
+
+@query()
+def gam_intervals(spark, d):
+    """Bounds of the mean and of new values over a grid."""
+    model = models.fit_gam(view(spark, d, "v_gvi").filter("not missing"), "mean_ndvi", "gvi")
+    x = model.partial_dependence(50)[0]
+    rows = [tuple(map(float, r)) for r in zip(x, *model.intervals(x).T, *model.intervals(x, prediction=True).T, strict=True)]
+    return spark.createDataFrame(rows, "x double, low double, high double, new_low double, new_high double")
+
+
+#: The grid of penalties of models other than the imputation's.
+PENALTIES = [10.0**k for k in (-3, -2.4, -1.8, -1.2, -0.6, 0, 0.6, 1.2, 1.8, 2.4, 3)]
+
+
 def _fit(spark, d, y, **more):
     rows = view(spark, d, "v_gvi").filter("not missing").withColumn("y", y)
-    model = models.fit_gam(rows, "mean_ndvi", "y", lams=[0.1, 10.0, 1000.0], **more)
+    model = models.fit_gam(rows, "mean_ndvi", "y", lams=PENALTIES, **more)
     return models.predict(rows, model, "mean_ndvi", "mean").select("id", "y", F.round("mean", 6).alias("mean"))
 
 
