@@ -242,8 +242,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
                     got.append(bag)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array([list(b) for b in got], pa.list_(pa.string())), pa.array([list(b.values()) for b in got], pa.list_(pa.float64()))], names=["doc_id", "toxic", "terms", "counts"])
 
-        examples = [labelled.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES) for c in (0, 1)]
-        rows = [r for r in examples[0].unionByName(examples[1]).mapInArrow(bags, "doc_id long, toxic int, terms array<string>, counts array<double>").collect() if r.terms]
+        # ids are picked without their texts, which would meet in one task
+        ids = [labelled.filter(F.col("toxic") == c).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES) for c in (0, 1)]
+        rows = [r for r in labelled.join(F.broadcast(ids[0].union(ids[1])), "doc_id", "left_semi").mapInArrow(bags, "doc_id long, toxic int, terms array<string>, counts array<double>").collect() if r.terms]
         chosen = sorted(strong.union(*(r.terms for r in rows)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
