@@ -232,7 +232,9 @@ def test_simhash(docs, rows):
     assert got == brute.components(rows)
 
 
-def test_pigeonring_finds_all_links(spark):
+@pytest.mark.parametrize("block_rows", [simhash.BLOCK_ROWS, 20])
+def test_pigeonring_finds_all_links(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block_rows)
     rng = np.random.default_rng(8)
     seeds = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     prints = set(seeds.tolist())

@@ -14,6 +14,10 @@ from .components import connected_components
 from .kernels import LOWER, NOT_SPACE, U64, mix, words
 
 BITS = 64
+#: Rows of a key that one task compares; a longer key is cut into blocks, which meet pair by pair.
+BLOCK_ROWS = 50_000
+#: What the rows that one task compares have in common.
+KEYED = ("start", "key", "pair")
 _LANES = U64(0x0101010101010101)
 
 
@@ -166,7 +170,7 @@ def chain_links(key: np.ndarray, turned: np.ndarray, budget: list[tuple[np.uint6
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def by_key(links, names: tuple[str, ...] = ("start", "key")):
+def by_key(links, names: tuple[str, ...]):
     """A function of batches sorted by the columns `names` that calls `links` with whole keys only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +191,19 @@ def by_key(links, names: tuple[str, ...] = ("start", "key")):
     return run
 
 
+def in_blocks(rows: DataFrame, ident: str) -> DataFrame:
+    """rows (start, key, ident, ...) with a column `pair`: zero, or, for a key of more than BLOCK_ROWS rows, each pair of the
+    key's blocks that the row takes part in. Any two rows of a key meet in a pair, which has two blocks at most.
+
+    Keys are counted on a 64th of the idents, picked by hash; where a key is cut changes the tasks, not which rows meet.
+    """
+    sampled = rows.filter(F.pmod(F.xxhash64(ident), F.lit(64)) == 0).groupBy("start", "key").count().filter(F.col("count") * 64 > BLOCK_ROWS)
+    hot = cut(sampled.select("start", "key", F.ceil(F.col("count") * 64 / BLOCK_ROWS).alias("n")), "hot-keys")
+    own = F.pmod(F.xxhash64(ident, F.lit(1)), F.col("n"))
+    meets = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda x: F.least(x, own) * (1 << 31) + F.greatest(x, own)))
+    return rows.join(hot, ["start", "key"], "left").withColumn("pair", F.explode(meets)).drop("n")
+
+
 def fingerprint_links(classes: DataFrame, distance: int = 4) -> DataFrame:
     """Edges (a, b) between different fingerprints, enough to connect every two that differ in at most `distance` bits.
 
@@ -194,7 +211,8 @@ def fingerprint_links(classes: DataFrame, distance: int = 4) -> DataFrame:
     most l * distance / (distance + 1) bits, rounded down. So the first segment is equal, and the second differs in one bit
     at most, hence is equal in its lower or upper half. Each fingerprint goes to one key per start and half: the equal
     segment with the equal half. Rows of a key are checked along the chain, then in full. A key has 19 bits or more, and
-    fingerprints here are distinct, so copies of one document don't add up in it.
+    fingerprints here are distinct, so copies of one document don't add up in it; a key that has very many rows all the same is
+    cut into blocks that meet pair by pair (see in_blocks).
     """
     ring = segments(distance + 1)
     fp = F.col("fp")
@@ -216,18 +234,19 @@ def fingerprint_links(classes: DataFrame, distance: int = 4) -> DataFrame:
         chains.append(budget)
 
     def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        start, key, values = (table[c].to_numpy() for c in ("start", "key", "fp"))
+        start, key, pair, values = (table[c].to_numpy() for c in ("start", "key", "pair", "fp"))
+        run = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])) if len(key) else key
         for k in np.unique(start).tolist():
             rows = np.flatnonzero(start == k)
             at = ring[k // 2][0]
             u = values[rows].view(U64)
             turned = (u >> U64(at)) | (u << U64(BITS - at)) if at else u
-            a, b = chain_links(key[rows], turned, chains[k // 2], distance)
+            a, b = chain_links(run[rows], turned, chains[k // 2], distance)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(values[rows[a]]), pa.array(values[rows[b]])], names=["a", "b"])
 
-    rows = classes.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.start", "k.key", "fp")
-    return rows.repartition("start", "key").sortWithinPartitions("start", "key", "fp").mapInArrow(by_key(links), "a long, b long").distinct()
+    rows = in_blocks(classes.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.start", "k.key", "fp"), "fp")
+    return rows.repartition(*KEYED).sortWithinPartitions(*KEYED, "fp").mapInArrow(by_key(links, KEYED), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, k: int = 5, distance: int = 4, seed: int = 42) -> DataFrame:
@@ -253,8 +272,6 @@ CHAIN = 8
 KEY_ROWS = 256
 #: Rows of a key that are compared all with all; more are searched, with the same pairs in the end. See chain_groups.
 COMPARED = 4096
-#: Rows of a key that one task compares; a longer key is cut into blocks, which meet pair by pair.
-BLOCK_ROWS = 50_000
 #: Texts of a block of a candidate group.
 BLOCK_TEXTS = 512
 
@@ -341,8 +358,8 @@ def wide_links(classes: DataFrame, per: int, parts: int, at_most: int) -> DataFr
     Candidates share one of the ring's segments exactly, and from it on chains of up to CHAIN segments keep within their share
     of at_most differing bits: the pigeonring's condition, with the equal segment as the chain's start. A pair is missed only
     if this fails for each of its equal segments, of which near copies have several; README has the measured recall. Rows carry
-    only the words that their chain reads. A key of very many rows, found in a sample of ids, is cut into blocks that meet pair
-    by pair; where it is cut changes the tasks, not the pairs. Candidates only say what similar_groups compares.
+    only the words that their chain reads. A key of very many rows is cut into blocks (see in_blocks). Candidates only say what
+    similar_groups compares.
     """
     ring = [(p, at, width) for p in range(parts) for at, width in segments(per)]
     span = 1 + -(-(CHAIN - 1) // per)
@@ -357,11 +374,7 @@ def wide_links(classes: DataFrame, per: int, parts: int, at_most: int) -> DataFr
             chain.append(((q - p) % parts, U64(((1 << w) - 1) << b), (step + 1) * at_most // len(ring)))
         chains.append(chain)
     rows = classes.select("id", F.explode(F.array(*keys)).alias("k")).select("k.*", "id")
-    sampled = rows.filter(F.pmod(F.xxhash64("id"), F.lit(64)) == 0).groupBy("start", "key").count().filter(F.col("count") * 64 > BLOCK_ROWS)
-    hot = cut(sampled.select("start", "key", F.ceil(F.col("count") * 64 / BLOCK_ROWS).alias("n")), "hot-keys")
-    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("n"))
-    meets = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda x: F.least(x, own) * (1 << 31) + F.greatest(x, own)))
-    rows = rows.join(hot, ["start", "key"], "left").withColumn("pair", F.explode(meets)).drop("n")
+    rows = in_blocks(rows, "id")
 
     def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
         start, key, ids, pair = (table[c].to_numpy() for c in ("start", "key", "id", "pair"))
@@ -381,7 +394,7 @@ def wide_links(classes: DataFrame, per: int, parts: int, at_most: int) -> DataFr
         if apart.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[apart]), pa.array(np.maximum(x, y)[apart])], names=["a", "b"])
 
-    return rows.repartition("start", "key", "pair").sortWithinPartitions("start", "key", "pair", "id").mapInArrow(by_key(links, ("start", "key", "pair")), "a long, b long").distinct()
+    return rows.repartition(*KEYED).sortWithinPartitions(*KEYED, "id").mapInArrow(by_key(links, KEYED), "a long, b long").distinct()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
