@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import cut, documents, slices
 
 #: Labelled rows of each class that are learnt from, at most; those with the smallest hashes of their ids.
 LABELLED = 30_000
@@ -41,26 +41,31 @@ class TermsOf(dict):
         return got
 
 
-class Vocabulary(dict):
-    """Numbers of the known terms of a word; most words have none."""
+class Vocabulary:
+    """Numbers of the known terms of a text; most words have none, so words and stems are looked up as they are, and stems only
+    where the vocabulary has some."""
 
     def __init__(self, terms: list[str]) -> None:
-        self.terms = {t: i for i, t in enumerate(terms)}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        got = tuple(i for t in word_terms(word) if (i := self.terms.get(t)) is not None)
-        if len(self) < 300_000:
-            self[word] = got
-        return got
+        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
+        self.stems = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*")}
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The known terms of a whole text, ascending, and how often each occurs."""
-        pairs = [(i, n) for w, n in Counter(WORD.findall((text or "").lower())).items() for i in self[w]]
-        if not pairs:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms, times = np.array(pairs, np.int64).T
-        known, which = np.unique(terms, return_inverse=True)
-        return known, np.bincount(which, times)
+        """The known terms of a whole text, ascending, and how often each occurs. They are those of word_terms."""
+        bag = Counter(WORD.findall((text or "").lower()))
+        word, stem = self.words.get, self.stems.get
+        terms = [word(w, -1) for w in bag]
+        times = list(bag.values())
+        if self.stems:
+            long = [(w, n) for w, n in bag.items() if len(w) > 4]
+            terms += [stem(w[:4], -1) for w, _ in long]
+            times += [n for _, n in long]
+            long = [(w, n) for w, n in long if len(w) > 5]
+            terms += [stem(w[:5], -1) for w, _ in long]
+            times += [n for _, n in long]
+        at, n = np.array(terms, np.int64), np.array(times, np.int64)
+        some = at >= 0
+        known, which = np.unique(at[some], return_inverse=True)
+        return known, np.bincount(which, n[some], len(known))
 
 
 def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,17 +252,27 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
         rows = [r for r in labelled.join(F.broadcast(ids[0].union(ids[1])), "doc_id", "left_semi").mapInArrow(bags, "doc_id long, toxic int, terms array<string>, counts array<double>").collect() if r.terms]
         chosen = sorted(strong.union(*(r.terms for r in rows)))
 
+    def count_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(chosen)
+        for batch in batches:
+            for part in slices(batch):
+                got = [vocabulary.counts(text) for text in part["text"].to_pylist()]
+                at = pa.array(np.cumsum([0, *(len(t) for t, _ in got)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x).astype(np.int32))) for x in zip(*got, strict=True)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *lists], names=["doc_id", "terms", "counts"])
+
+    # texts are read once: the document frequencies and the search both need the counts of their terms
+    bags_of = cut(docs.mapInArrow(count_known, "doc_id long, terms array<int>, counts array<int>"), "bags")
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, n, total = Vocabulary(chosen), np.zeros(len(chosen) + 1, np.int64), 0
+        n = np.zeros(len(chosen) + 1, np.int64)
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                total += 1
-                n[list(set().union(*map(vocabulary.__getitem__, set(WORD.findall((text or "").lower())))))] += 1
-        n[-1] = total
+            n[:-1] += np.bincount(batch["terms"].flatten().to_numpy(), minlength=len(chosen))
+            n[-1] += batch.num_rows
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"term": pa.array(some), "n": pa.array(n[some])})
 
-    found = docs.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow() if chosen else None
+    found = bags_of.select("terms").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow() if chosen else None
     df = np.zeros(len(chosen) + 1)
     if found is not None:
         df[found["term"].to_numpy()] = found["n"].to_numpy()
@@ -278,21 +293,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
         shares = np.array([model.share(*found[i], i)[0] for i in pick.tolist()])
         if len(set(labels_of[pick].tolist())) == 2:
             model.calibrate(shares, labels_of[pick])
+    is_strong = np.array([t in strong for t in chosen], bool)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, votes = Vocabulary(chosen), sent.value
+        votes = sent.value
         done: dict[bytes, tuple[float, list]] = {}
         for batch in batches:
-            for part in slices(batch):
+            if votes is None:
+                scores, near, terms = [prior] * batch.num_rows, [[]] * batch.num_rows, [[]] * batch.num_rows
+            else:
                 scores, near, terms = [], [], []
-                for text in part["text"].to_pylist():
-                    if votes is None:
-                        scores.append(prior)
-                        near.append([])
-                        terms.append([])
-                        continue
-                    t, n = vocabulary.counts(text)
+                at = batch["terms"].offsets.to_numpy()
+                flat = [batch[c].flatten().to_numpy() for c in ("terms", "counts")]
+                for a, b in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True):
+                    t, n = flat[0][a:b], flat[1][a:b]
                     key = t.tobytes() + n.tobytes()
                     if key not in done:
                         if len(done) > 50_000:
@@ -301,8 +316,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
                         done[key] = votes.score(share), [votes.index.ids[i] for i in found.tolist()]
                     scores.append(done[key][0])
                     near.append(done[key][1])
-                    terms.append([chosen[i] for i in t.tolist() if chosen[i] in strong])
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))], names=["doc_id", "score", "predicted", "neighbours", "terms"])
+                    terms.append([chosen[i] for i in t[is_strong[t]].tolist()])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))], names=["doc_id", "score", "predicted", "neighbours", "terms"])
 
-    judged = docs.mapInArrow(judge, "doc_id long, score double, predicted int, neighbours array<long>, terms array<string>")
+    judged = bags_of.mapInArrow(judge, "doc_id long, score double, predicted int, neighbours array<long>, terms array<string>")
     return judged.select("doc_id", held_out().alias("held_out"), "score", "predicted", "neighbours", "terms")
