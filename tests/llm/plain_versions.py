@@ -98,6 +98,16 @@ def contamination(rows, items, k=10):
     return out
 
 
+def near(text, item, k, slop):
+    """Whether all words of a window of the item stand, in any order, in a stretch of slop more words."""
+    w, v = benchmark_words(text), benchmark_words(item)
+    for s in range(max(1, len(v) - k + 1)) if v else ():
+        window = v[s : s + k]
+        if any(set(window) <= set(w[b : b + len(window) + slop]) for b in range(len(w))):
+            return True
+    return False
+
+
 SECRETS = {
     "assign": (re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),

@@ -1,6 +1,7 @@
 """Each corpus operator against a plain version, on texts with every odd case; and on empty tables."""
 
 import hashlib
+import random
 import zlib
 
 import plain_versions as brute
@@ -176,6 +177,22 @@ def test_proximity(spark):
     assert got == {1: ([], ["9"]), 2: ([], ["9"]), 3: ([], []), 4: ([], [])}
 
 
+@pytest.mark.parametrize("shard_bytes", [50, 1 << 20])
+def test_proximity_of_plain(spark, monkeypatch, shard_bytes):
+    """Near items are those of the plain version, however the documents are dealt to shards."""
+    rng = random.Random(11)
+    words = "a b c d e f".split()
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for i in range(60)} | {60: None}
+    items = {i: " ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for i in range(8)} | {8: None, 9: "", 10: "a nowhere b"}
+    monkeypatch.setattr(decontam, "SHARD_BYTES", shard_bytes)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for slop in (1, 2, 4):
+        want = {d: sorted(str(i) for i, t in items.items() if brute.near(text, t, 4, slop)) for d, text in texts.items()}
+        got = {r.doc_id: r.near_items for r in decontam.contamination(docs, tests, window=4, slop=slop).collect()}
+        assert got == want
+
+
 def test_positional_index(docs, rows):
     index = decontam.positional_index(docs).collect()
     got = {}

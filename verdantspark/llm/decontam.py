@@ -17,6 +17,8 @@ from .kernels import LOWER, WORDISH, gathered, word_hashes, words
 
 #: Words of a window.
 WINDOW = 10
+#: Words that may stand between those of a window in a proximity match of the query.
+SLOP = 2
 #: Items whose windows are searched at a time, and their bytes of text.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 #: Text of a shard of the index.
@@ -90,8 +92,9 @@ class Shard:
         return np.repeat(np.arange(len(self.row) - 1), np.diff(self.row))
 
     def search(self, tests: Tests, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Exact matches (window, first word), and with `slop` near ones (window, word): those of a window's rarest term around
-        which, within `slop` more words than the window has, all its terms occur in any order.
+        """Exact matches (window, first word), and with `slop` near ones (window, word): a stretch of `slop` more words than the
+        window has holds all its terms, in any order; the word is one of its rarest term here. What is near depends on the
+        document alone, not on which term is the rarest in the shard.
 
         Lists of all windows whose terms all occur here are intersected side by side, each window's from its rarest term on:
         what is left of a list, shifted by the terms' offsets, is looked up in the next. Terms are compared by text, too.
@@ -143,9 +146,23 @@ class Shard:
             far = tests.size[alive[w]] + slop - 1
             return next_in_list(w, j, np.maximum(at - far, 0)) <= at + far
 
+        def together(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of places around which all terms occur, those that share one stretch with all of them."""
+            far = tests.size[alive[w]] + slop - 1
+            hold = np.zeros(len(w), bool)
+            for back in range(int(far.max(initial=-1)) + 1):
+                open_ = np.flatnonzero(~hold & (far >= back))
+                start, last = at[open_] - back, at[open_] - back + far[open_]
+                fits = np.ones(len(open_), bool)
+                for j in range(1, tests.grid.shape[1]):
+                    left = np.flatnonzero(fits & (tests.size[alive[w[open_]]] > j))
+                    fits[left] = next_in_list(w[open_[left]], j, start[left]) <= last[left]
+                hold[open_[fits]] = True
+            return w[hold], at[hold]
+
         to_word = lambda p: p - width * np.searchsorted(self.row[1:] - 1 + np.arange(len(self.row) - 1) * width, p)
         x, begin = matched(w, at - order[w, 0], adjacent)
-        y, near = matched(w, at, around) if slop else (none, none)
+        y, near = together(*matched(w, at, around)) if slop else (none, none)
         return alive[x], to_word(begin), alive[y], to_word(near)
 
 
@@ -273,7 +290,13 @@ bw as (select distinct item_id, len(list_slice(w, s, s + {WINDOW - 1})) as n, ar
 ds as (select doc_id, w, z.n, unnest(range(1, len(w) - z.n + 2)) as s from d, (select distinct n from bw) z where len(w) >= z.n),
 h as (select ds.doc_id, ds.s, ds.n, bw.item_id from ds join bw on ds.n = bw.n and array_to_string(list_slice(ds.w, ds.s, ds.s + ds.n - 1), ' ') = bw.k),
 p as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from h) group by doc_id),
-i as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as items from (select distinct doc_id, cast(item_id as varchar) as i from h) group by doc_id)
-select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(p.n_hit, 0) as n_hit, coalesce(i.n_items, 0) as n_items, sha256(coalesce(i.items, '')) as items_sha256, p.n_hit is not null as contaminated
-from d left join p on d.doc_id = p.doc_id left join i on d.doc_id = i.doc_id
+i as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as items from (select distinct doc_id, cast(item_id as varchar) as i from h) group by doc_id),
+bt as (select distinct item_id, n + {SLOP} as reach, list_sort(list_distinct(string_split(k, ' '))) as terms from bw),
+dt as (select doc_id, w, unnest(range(1, len(w) + 1)) as p, unnest(w) as t from d),
+f as (select t, count(*) as n from dt group by t),
+a as (select item_id, reach, terms, arg_min(x.t, coalesce(f.n, 0)) as rare from (select *, unnest(terms) as t from bt) x left join f on x.t = f.t group by item_id, reach, terms),
+c as (select doc_id, item_id, w, p, reach, terms from dt join a on dt.t = a.rare where list_has_all(list_slice(w, greatest(p - reach + 1, 1), p + reach - 1), terms)),
+r as (select doc_id, string_agg(i, ',' order by i) as near_items from (select distinct doc_id, cast(item_id as varchar) as i from (select *, unnest(range(greatest(p - reach + 1, 1), p + 1)) as s from c) where list_has_all(list_slice(w, s, s + reach - 1), terms)) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(p.n_hit, 0) as n_hit, coalesce(i.n_items, 0) as n_items, sha256(coalesce(i.items, '')) as items_sha256, p.n_hit is not null as contaminated, coalesce(r.near_items, '') as near_items
+from d left join p on d.doc_id = p.doc_id left join i on d.doc_id = i.doc_id left join r on d.doc_id = r.doc_id
 """
