@@ -16,7 +16,7 @@ from .common import cut, documents, slices
 #: Labelled rows of each class that are learnt from, at most; those with the smallest hashes of their ids.
 LABELLED = 30_000
 #: Of these, examples of each class in the index, at most.
-EXAMPLES = 500
+EXAMPLES = 800
 #: Least chi-square statistic of a term that goes with the label, least ratio of its shares in the classes, and the weight of all
 #: other terms beside these.
 CHI_SQUARE, RATIO, OTHERS = 20.0, 2.0, 0.05
