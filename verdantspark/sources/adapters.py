@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Double literals have an exponent: without it they would be decimals.
 VIEWS = {
-    "v_nodes": "select distinct o_custkey % 100 as n, (o_custkey % 100 % 10) * 130.0e0 as x, floor((o_custkey % 100) / 10e0) * 170.0e0 as y from orders",
-    "v_edges": "select o_orderkey as seq, o_custkey % 100 as u, (o_custkey + o_orderkey % 7 + 97) % 100 as v, cast(row_number() over (partition by o_custkey % 100, (o_custkey + o_orderkey % 7 + 97) % 100 order by o_orderkey) - 1 as bigint) as k, o_orderpriority as highway from orders",
+    "v_nodes": "select c_custkey as n, (c_custkey % 10) * 130.0e0 as x, floor(c_custkey / 10e0) * 170.0e0 as y from customer",
+    "v_edges": "select o_orderkey as seq, o_custkey as u, o_custkey - o_custkey % 100 + (o_custkey + o_orderkey % 7 + 97) % 100 as v, cast(row_number() over (partition by o_custkey, o_custkey - o_custkey % 100 + (o_custkey + o_orderkey % 7 + 97) % 100 order by o_orderkey) - 1 as bigint) as k, o_orderpriority as highway from orders",
     "v_roads": "select cast(c_custkey as varchar(20)) as road_id, abs(c_acctbal) + 1.0e0 as length, c_mktsegment as highway, n_name as city from customer join nation on c_nationkey = n_nationkey",
     "v_points": "select o_orderkey as id, cast(case when o_custkey % 10 = 0 then o_custkey + 1 else o_custkey end as varchar(20)) as road_index, case when o_orderstatus = 'P' then '' else cast(o_orderkey as varchar(20)) end as image_id, o_orderstatus = 'O' and o_orderkey % 3 = 0 as is_panoramic from orders",
     "v_gvi": "select o_orderkey as id, o_orderkey % 360 - 180e0 as x, o_orderkey % 160 - 80.0e0 as y, case when o_orderstatus = 'O' then (o_totalprice % 1000) / 1000.0e0 end as gvi, o_orderstatus <> 'O' as missing, o_orderkey % 50 = 0 and o_orderstatus = 'F' as error, round((o_totalprice % 1000) / 1000.0e0 * 0.6e0 + (o_orderkey % 10) / 33.0e0, 3) as mean_ndvi from orders",
