@@ -118,6 +118,24 @@ def test_nearest_node_ways_agree(spark, monkeypatch):
     assert sent == {(r.id, r.node) for r in spatial.nearest_node(p, n, 50.0).collect()} and len(sent) == 60
 
 
+@pytest.mark.parametrize("n", [1, 2, 17, 600])
+@pytest.mark.parametrize("ties", [True, False])
+def test_tiles_find_the_nearest(n, ties):
+    rng = np.random.default_rng(n)
+    x, y = (rng.integers(0, 20, (2, n)) * 1.0) if ties else rng.normal(size=(2, n)) * [[50], [1]]
+    px, py = rng.integers(-30, 50, (2, 300)) * 0.5
+    d2 = (px[:, None] - x) ** 2 + (py[:, None] - y) ** 2
+    which, best = spatial.Tiles(x, y).nearest(px, py)
+    assert (which == d2.argmin(1)).all() and (best == d2.min(1)).all()
+
+
+def test_nearest_node_without_coordinates(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0)], "id long, x double, y double")
+    n = spark.createDataFrame([(5, None, 0.0), (6, 3.0, 4.0), (7, -3.0, 4.0)], "node long, x double, y double")
+    assert [tuple(r) for r in spatial.nearest_node(p, n, 1.0).collect()] == [(1, 6, 5.0)]
+    assert spatial.nearest_node(p, n.filter("node < 6"), 1.0).count() == 0
+
+
 def test_spline_limits():
     s = models.Spline(0.0, 1.0, 12)
     x = np.linspace(0, 1, 50)

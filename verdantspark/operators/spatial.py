@@ -35,30 +35,61 @@ def nearest_image_join(points: DataFrame, images: DataFrame, max_distance: float
     return points.join(best, "id", "left").select(*points.columns, F.sqrt("_b._d2").alias("distance"), F.coalesce(F.col("_b.image_id").cast("string"), F.lit("")).alias("image_id"), F.coalesce(F.col("_b.is_pano"), F.lit(False)).alias("is_panoramic"))
 
 
+class Tiles:
+    """Places in tiles of about the same number, with each tile's bounds; a search reads only tiles that may hold the nearest."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.x, self.y = x, y
+        side = max(1, round(len(x) ** 0.25))
+        strips = np.array_split(np.argsort(x, kind="stable"), side)
+        tiles = [np.sort(t) for s in strips for t in np.array_split(s[np.argsort(y[s], kind="stable")], side) if len(t)]
+        self.grid = np.full((len(tiles), max(map(len, tiles), default=0)), -1)
+        for i, t in enumerate(tiles):
+            self.grid[i, : len(t)] = t
+        self.bounds = [np.array([f(v[t]) for t in tiles]) for v in (x, y) for f in (np.min, np.max)]
+
+    def nearest(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of the nearest place to each of (x, y), the smaller at a tie, and the squared distance."""
+        x0, x1, y0, y1 = self.bounds
+        bound = (x[:, None] - np.clip(x[:, None], x0, x1)) ** 2 + (y[:, None] - np.clip(y[:, None], y0, y1)) ** 2
+        order = np.argsort(bound, axis=1)
+        best, which, open_ = np.full(len(x), np.inf), np.full(len(x), len(self.x)), np.arange(len(x))
+        for r in range(len(self.grid)):
+            open_ = open_[bound[open_, order[open_, r]] <= best[open_]]
+            if not len(open_):
+                break
+            g = self.grid[order[open_, r]]
+            d2 = np.where(g < 0, np.inf, (x[open_, None] - self.x[g]) ** 2 + (y[open_, None] - self.y[g]) ** 2)
+            k = d2.argmin(1)
+            d2, g = d2[np.arange(len(k)), k], g[np.arange(len(k)), k]
+            closer = (d2 < best[open_]) | ((d2 == best[open_]) & (g < which[open_]))
+            best[open_[closer]], which[open_[closer]] = d2[closer], g[closer]
+        return which, best
+
+
 #: Nodes that are sent to all tasks at most; with more, points and nodes meet by grid cell.
 SENT_NODES = 20_000
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, start: float) -> DataFrame:
-    """id, node and distance of each point's nearest node, however far; ties go to the smallest node. Points without both
-    coordinates drop out; without nodes there are no rows.
+    """id, node and distance of each point's nearest node, however far; ties go to the smallest node. Points and nodes
+    without both coordinates drop out; without nodes there are no rows.
 
-    Up to SENT_NODES nodes, a counted bound, are compared where the points are. More are met ring by ring: cells of twice the
+    Up to SENT_NODES nodes, a counted bound, are sent to the points and searched tile by tile. More are met ring by ring: cells of twice the
     side in each round, until no point is left; a node found within the side is surely nearest. What is found and what is left
     are written each round, so that no round plans the ones before anew.
     """
-    few = nodes.select(F.col("node").cast("long"), F.col("x").cast("double"), F.col("y").cast("double")).orderBy("node").limit(SENT_NODES + 1).toPandas()
+    few = nodes.select(F.col("node").cast("long"), F.col("x").cast("double"), F.col("y").cast("double")).na.drop().orderBy("node").limit(SENT_NODES + 1).toPandas()
     if len(few) <= SENT_NODES:
-        ids, at = few["node"].to_numpy(), few[["x", "y"]].to_numpy()
+        ids, tiles = few["node"].to_numpy(), Tiles(few["x"].to_numpy(), few["y"].to_numpy())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, 2_000_000 // max(1, len(ids)))
+            step = max(1, 2_000_000 // max(1, *tiles.grid.shape))
             for b in batches if len(ids) else ():
                 x, y = b["x"].to_numpy(zero_copy_only=False), b["y"].to_numpy(zero_copy_only=False)
                 for a in range(0, len(x), step):
-                    d2 = (x[a : a + step, None] - at[:, 0]) ** 2 + (y[a : a + step, None] - at[:, 1]) ** 2
-                    k = d2.argmin(1)
-                    yield pa.RecordBatch.from_arrays([b["id"].slice(a, step), pa.array(ids[k]), pa.array(np.sqrt(d2[np.arange(len(k)), k]))], names=["id", "node", "distance"])
+                    k, d2 = tiles.nearest(x[a : a + step], y[a : a + step])
+                    yield pa.RecordBatch.from_arrays([b["id"].slice(a, step), pa.array(ids[k]), pa.array(np.sqrt(d2))], names=["id", "node", "distance"])
 
         rows = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).na.drop(subset=["x", "y"])
         return rows.mapInArrow(run, f"id {points.schema['id'].dataType.simpleString()}, node long, distance double")
