@@ -206,3 +206,9 @@ def test_validation():
     for bad in (("Line", None, "euclidean", 1, None, None, None), ("Point", None, "network", 100, 5, 5, "walk"), ("Point", None, "euclidean", None, None, None, None), ("Polygon", "barn", None, None, None, None, None)):
         with pytest.raises(ValueError, match="must|needs"):
             metrics.validate_exposure(*bad)
+
+
+def test_tile_semi_join_beyond_the_map(spark):
+    f = spark.createDataFrame([(1, 179.0, 1.0), (2, 181.0, 1.0), (3, 542.0, 1.0), (4, -181.0, 1.0)], "image_id long, lng double, lat double")
+    p = spark.createDataFrame([(179.5, 1.0), (-179.5, 1.0)], "lng double, lat double")
+    assert [r.image_id for r in roads.tile_semi_join(f, p, 6).collect()] == [1]

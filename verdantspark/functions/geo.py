@@ -13,12 +13,13 @@ N = FLATTENING / (2 - FLATTENING)
 ECCENTRICITY = math.sqrt(FLATTENING * (2 - FLATTENING))
 
 
-def web_mercator_tile(lng: Column, lat: Column, zoom: int = 14) -> Column:
-    """The XYZ tile of a point; latitudes of the poles have none."""
+def web_mercator_tile(lng: Column, lat: Column, zoom: int = 14, clipped: bool = True) -> Column:
+    """The XYZ tile of a point; latitudes of the poles have none. Points beyond the map are in its outermost tiles, or, if not
+    clipped, in tiles of their own beyond it."""
     s = F.sin(F.radians(lat))
     x = F.floor((lng / 360 + 0.5) * 2**zoom)
     y = F.floor((F.lit(0.5) - 0.25 * F.ln((1 + s) / (1 - s)) / math.pi) * 2**zoom)
-    clip = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(2**zoom - 1)).cast("int")
+    clip = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(2**zoom - 1)).cast("int") if clipped else c
     return F.struct(clip(x).alias("x"), clip(y).alias("y"), F.lit(zoom).alias("z"))
 
 
