@@ -212,3 +212,28 @@ def test_tile_semi_join_beyond_the_map(spark):
     f = spark.createDataFrame([(1, 179.0, 1.0), (2, 181.0, 1.0), (3, 542.0, 1.0), (4, -181.0, 1.0)], "image_id long, lng double, lat double")
     p = spark.createDataFrame([(179.5, 1.0), (-179.5, 1.0)], "lng double, lat double")
     assert [r.image_id for r in roads.tile_semi_join(f, p, 6).collect()] == [1]
+
+
+def test_nearest_node_in_one_round(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    nodes = np.concatenate([rng.integers(0, 20, (150, 2)) * 10.0, rng.normal(0, 3000, (150, 2))])
+    points = np.concatenate([rng.integers(0, 40, (80, 2)) * 5.0, rng.normal(0, 3000, (40, 2)), rng.normal(0, 2e6, (40, 2))])
+    d2 = (points[:, :1] - nodes[:, 0]) ** 2 + (points[:, 1:] - nodes[:, 1]) ** 2
+    p = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(points)], "id long, x double, y double")
+    n = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(nodes)], "node long, x double, y double")
+    written, write = [], spatial.write_layer
+    monkeypatch.setattr(spatial, "SENT_NODES", 40)
+    monkeypatch.setattr(spatial, "TILE_NODES", 2, raising=False)
+    monkeypatch.setattr(spatial, "PIECE_POINTS", 7, raising=False)
+    monkeypatch.setattr(spatial, "write_layer", lambda df, path: written.append(path) or write(df, path))
+    got = {r.id: (r.node, r.distance) for r in spatial.nearest_node(p, n, 1.0).collect()}
+    assert got == {i: (int(d2[i].argmin()), math.sqrt(d2[i].min())) for i in range(len(points))}
+    assert len(written) == 2
+
+
+@pytest.mark.parametrize("sent", [1, 20_000])
+def test_nearest_node_of_repeated_ids(spark, monkeypatch, sent):
+    monkeypatch.setattr(spatial, "SENT_NODES", sent)
+    p = spark.createDataFrame([(1, 0.0, 0.0), (1, 9.0, 0.0), (2, 2.0, 0.0)], "id long, x double, y double")
+    n = spark.createDataFrame([(5, 3.0, 0.0), (6, 10.0, 0.0), (4, 10.0, 0.0), (7, float("inf"), 0.0)], "node long, x double, y double")
+    assert sorted(tuple(r) for r in spatial.nearest_node(p, n, 1.0).collect()) == [(1, 4, 1.0), (2, 5, 1.0)]

@@ -66,44 +66,130 @@ class Tiles:
             best[open_[closer]], which[open_[closer]] = d2[closer], g[closer]
         return which, best
 
-
-#: Nodes that are sent to all tasks at most; with more, points and nodes meet by grid cell.
+    def search(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """nearest() of any number of places, so many at a time that temporaries stay small."""
+        step = max(1, 2_000_000 // max(1, *self.grid.shape))
+        found = [self.nearest(x[a : a + step], y[a : a + step]) for a in range(0, len(x), step)]
+        return tuple(np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0))
+
+
+class Plane:
+    """The plane in tiles: cut in halves of the given places, each half across its longer side, until a tile has `most` of them."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, most: int) -> None:
+        places, axis, at, after = np.array([x, y]), [0], [0.0], [-1]
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            k, rows = todo.pop()
+            if len(rows) <= most:
+                continue
+            v = places[:, rows]
+            axis[k] = int(np.ptp(v[1]) > np.ptp(v[0]))
+            own = np.sort(v[axis[k]])
+            if own[0] == own[-1]:
+                continue
+            at[k] = max(own[len(own) // 2], own[np.searchsorted(own, own[0], "right")])  # both sides have some
+            high, after[k] = v[axis[k]] >= at[k], len(axis)
+            todo += [(len(axis), rows[~high]), (len(axis) + 1, rows[high])]
+            axis, at, after = [*axis, 0, 0], [*at, 0.0, 0.0], [*after, -1, -1]
+        self.axis, self.at, self.after = np.array(axis), np.array(at), np.array(after)
+
+    def tile(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The number of the tile that each of (x, y) lies in."""
+        k = np.zeros(len(x), np.int64)
+        while (inner := self.after[k] >= 0).any():
+            k = np.where(inner, self.after[k] + (np.where(self.axis[k], y, x) >= self.at[k]), k)
+        return k
+
+
+#: Nodes that are sent to all tasks at most; with more, points and nodes meet by tile.
 SENT_NODES = 20_000
+#: Sent nodes in a tile, at most.
+TILE_NODES = 32
+#: Points that are searched in a tile by one task, at most about; more are cut into pieces.
+PIECE_POINTS = 100_000
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, start: float) -> DataFrame:
-    """id, node and distance of each point's nearest node, however far; ties go to the smallest node. Points and nodes
-    without both coordinates drop out; without nodes there are no rows.
+def _xy(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(batch[c].to_numpy(zero_copy_only=False) for c in ("x", "y"))
+
 
-    Up to SENT_NODES nodes, a counted bound, are sent to the points and searched tile by tile. More are met ring by ring: cells of twice the
-    side in each round, until no point is left; a node found within the side is surely nearest. What is found and what is left
-    are written each round, so that no round plans the ones before anew.
+def nearest_node(points: DataFrame, nodes: DataFrame, start: float) -> DataFrame:
+    """id, node and distance of each point's nearest node, however far; ties go to the smallest node. Of points that repeat an id,
+    the one nearest to a node counts. Points without both coordinates and nodes without finite ones drop out; without nodes
+    there are no rows.
+
+    Up to SENT_NODES places of nodes, a counted bound, are sent to the points and searched tile by tile. Of more, so many are sent,
+    picked by hash: the nearest of them bounds the distance, and a point goes to each tile of the plane whose nodes' box is no
+    farther than that. A tile has about TILE_NODES in SENT_NODES of all nodes; the points of a full tile are cut into pieces that
+    get its nodes each. It takes one round, whatever the distances; `start`, the first radius of an earlier search in rings,
+    changes nothing.
     """
-    few = nodes.select(F.col("node").cast("long"), F.col("x").cast("double"), F.col("y").cast("double")).na.drop().orderBy("node").limit(SENT_NODES + 1).toPandas()
-    if len(few) <= SENT_NODES:
-        ids, tiles = few["node"].to_numpy(), Tiles(few["x"].to_numpy(), few["y"].to_numpy())
+    spark, kind = points.sparkSession, points.schema["id"].dataType.simpleString()
+    rows = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).na.drop(subset=["x", "y"])
+    places = nodes.select(F.col("node").cast("long"), F.col("x").cast("double"), F.col("y").cast("double")).na.drop()
+    places = places.filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).groupBy("x", "y").agg(F.min("node").alias("node"))
+    sent = places.orderBy(F.xxhash64("x", "y"), "x", "y").limit(SENT_NODES + 1).toPandas()
+    every = len(sent) <= SENT_NODES
+    sent = sent[:SENT_NODES].sort_values("node")
+    ids, tiles = sent["node"].to_numpy(), Tiles(sent["x"].to_numpy(), sent["y"].to_numpy())
+    nearest = lambda met: met.groupBy("id").agg(F.min(F.struct("d2", "node")).alias("_b")).select("id", F.col("_b.node").alias("node"), F.sqrt("_b.d2").alias("distance"))
+
+    if every:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, 2_000_000 // max(1, *tiles.grid.shape))
             for b in batches if len(ids) else ():
-                x, y = b["x"].to_numpy(zero_copy_only=False), b["y"].to_numpy(zero_copy_only=False)
-                for a in range(0, len(x), step):
-                    k, d2 = tiles.nearest(x[a : a + step], y[a : a + step])
-                    yield pa.RecordBatch.from_arrays([b["id"].slice(a, step), pa.array(ids[k]), pa.array(np.sqrt(d2))], names=["id", "node", "distance"])
-
-        rows = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).na.drop(subset=["x", "y"])
-        return rows.mapInArrow(run, f"id {points.schema['id'].dataType.simpleString()}, node long, distance double")
-    right = nodes.select("node", F.col("x").alias("rx"), F.col("y").alias("ry")).na.drop()
-    left, done, side = points.select("id", "x", "y").na.drop(subset=["x", "y"]), None, start
-    while True:
-        d2 = (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))
-        met = near_pairs(left, right, side).withColumn("_d2", d2).filter(F.col("_d2") <= side * side).groupBy("id").agg(F.min(F.struct("_d2", "node")).alias("_b"))
-        found = write_layer(met.select("id", F.col("_b.node").cast("long").alias("node"), F.sqrt("_b._d2").alias("distance")), work_dir(points.sparkSession))
-        done = found if done is None else done.unionByName(found)
-        left = write_layer(left.join(found.select("id"), "id", "left_anti"), work_dir(points.sparkSession))
-        if left.isEmpty():
-            return done
-        side *= 2
+                k, d2 = tiles.search(*_xy(b))
+                yield pa.RecordBatch.from_arrays([b["id"], pa.array(ids[k]), pa.array(d2)], names=["id", "node", "d2"])
+
+        return nearest(rows.mapInArrow(run, f"id {kind}, node long, d2 double"))
+
+    plane = Plane(tiles.x, tiles.y, TILE_NODES)
+
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(plane.tile(*_xy(b))), *b.columns], names=["tile", *b.schema.names])
+
+    homes = write_layer(places.select("node", "x", "y").mapInArrow(tiled, "tile long, node long, x double, y double"), work_dir(spark))
+    boxes = homes.groupBy("tile").agg(*(f(c) for c in "xy" for f in (F.min, F.max))).toPandas().to_numpy(np.float64)  # at most SENT_NODES rows
+    numbers, (x0, x1, y0, y1) = boxes[:, 0].astype(np.int64), boxes[:, 1:].T
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 2_000_000 // len(numbers))
+        for b in batches:
+            for a in range(0, b.num_rows, step):
+                part = b.slice(a, step)
+                x, y = _xy(part)
+                bound = (x[:, None] - np.clip(x[:, None], x0, x1)) ** 2 + (y[:, None] - np.clip(y[:, None], y0, y1)) ** 2
+                i, t = np.nonzero(bound <= tiles.search(x, y)[1][:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[t]), *part.take(pa.array(i)).columns], names=["tile", "id", "x", "y"])
+
+    asked = write_layer(rows.mapInArrow(reached, f"tile long, id {kind}, x double, y double"), work_dir(spark))
+    pieces = asked.groupBy("tile").agg(F.ceil(F.count("*") / PIECE_POINTS).alias("n"))
+    here = asked.join(F.broadcast(pieces), "tile").select("tile", F.pmod(F.xxhash64("id", "x", "y"), F.col("n")).alias("piece"), F.lit(True).alias("asks"), "id", F.lit(None).cast("long").alias("node"), "x", "y")
+    there = homes.join(F.broadcast(pieces), "tile").select("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("piece"), F.lit(False).alias("asks"), F.lit(None).cast(kind).alias("id"), "node", "x", "y")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, own, names = None, [], None, np.zeros(0, np.int64)
+        for b in batches:
+            tile, piece = (b[c].to_numpy() for c in ("tile", "piece"))
+            asks = b["asks"].to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]) | (piece[1:] != piece[:-1]) | (asks[1:] != asks[:-1]))[: len(tile)])
+            for a, e in zip(first.tolist(), [*first[1:].tolist(), len(tile)], strict=False):
+                part = b.slice(a, e - a)
+                if last != (key := (tile[a], piece[a])):
+                    last, held, own = key, [], None
+                if not asks[a]:
+                    held.append((part["node"].to_numpy(), *_xy(part)))
+                    continue
+                if own is None:
+                    names, x, y = (np.concatenate(v) for v in zip(*held, strict=True))
+                    own, held = Tiles(x, y), []
+                k, d2 = own.search(*_xy(part))
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(names[k]), pa.array(d2)], names=["id", "node", "d2"])
+
+    met = here.unionByName(there).repartition("tile", "piece").sortWithinPartitions("tile", "piece", "asks", "node")
+    return nearest(met.mapInArrow(search, f"id {kind}, node long, d2 double"))
 
 
 def bbox_filter(points: DataFrame, extent: DataFrame) -> DataFrame:
