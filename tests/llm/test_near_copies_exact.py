@@ -118,3 +118,16 @@ def test_repeated_ids_and_blank_texts(spark):
     rows = [(1, base), (1, "other words here for the same id"), (2, base + " x"), (3, ""), (4, None), (5, " \n"), (None, base), (6, "z"), (6, "z"), (7, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in simhash.near_copies(df).collect()} == {(2, 1), (4, 3), (5, 3), (7, 6)}
+
+
+def test_candidates_do_not_depend_on_the_number_of_documents(spark, monkeypatch):
+    """The same fingerprints and keys for tables of any size."""
+    asked = []
+    links = simhash.wide_links
+    monkeypatch.setattr(simhash, "wide_links", lambda classes, per, parts, most: asked.append((per, parts, most)) or links(classes, per, parts, most))
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, " ".join(fresh(rng, 12))) for i in range(6)], "doc_id long, text string")
+    for n in (6, 2_000_000, 20_000_000):
+        monkeypatch.setattr(type(df), "count", lambda self, n=n: n)
+        simhash.near_copies(df, 5, 0.8)
+    assert len(asked) == 3 and len(set(asked)) == 1

@@ -268,28 +268,34 @@ def simhash_components(docs: DataFrame, k: int = 5, distance: int = 4, seed: int
 
 #: Segments of a chain that are checked one by one.
 CHAIN = 8
-#: Rows that a key has by chance, at most; segments are as long as that takes.
-KEY_ROWS = 256
+#: Segments of a 64-bit part of a wide fingerprint. 16 bits: a key has a 65,536th of the documents by chance.
+SEGMENTS = 4
+#: Share of pairs at the threshold that may have no equal segment.
+MISSED = 0.003
 #: Rows of a key that are compared all with all; more are searched, with the same pairs in the end. See chain_groups.
 COMPARED = 4096
 #: Texts of a block of a candidate group.
 BLOCK_TEXTS = 512
 
 
-def ring_of(texts: int) -> tuple[int, int]:
-    """Segments of a 64-bit part, and parts of a wide fingerprint, for so many texts: a longer segment is rarer by chance, but
-    also rarer equal in near copies, so there are more. Of similarity 0.8, over 99 % have an equal segment in each case."""
-    for per, parts in ((5, 8), (4, 16)):
-        if texts <= KEY_ROWS << 64 // per:
-            return per, parts
-    return 3, 52
+def differing(similarity: float) -> float:
+    """Share of bits in which SimHashes of a pair differ. Jaccard similarity s of sets of one size is the cosine 2 s / (1 + s); each
+    bit differs with the angle's share of a half turn."""
+    return float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+
+
+def ring_of(similarity: float) -> tuple[int, int]:
+    """Segments of a 64-bit part, and parts of a wide fingerprint: as many as it takes that a pair of the similarity has an equal
+    segment but for MISSED of all pairs. They don't depend on the number of documents, so that the same pairs are candidates
+    in tables of every size; keys that get long are cut into blocks (see in_blocks)."""
+    equal = (1 - differing(similarity)) ** (BITS // SEGMENTS)
+    return SEGMENTS, 8 if equal == 1 else max(8, int(np.ceil(np.log(MISSED) / np.log1p(-equal) / SEGMENTS)))
 
 
 def bits_for(similarity: float, bits: int, deviations: float = 3.0) -> int:
-    """Differing bits of wide fingerprints beyond which a pair is not a candidate. Jaccard similarity s of sets of one size is
-    the cosine 2 s / (1 + s); each bit differs with the angle's share of a half turn; the bound is so many standard deviations
-    above the expected number."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    """Differing bits of wide fingerprints beyond which a pair is not a candidate: so many standard deviations above the expected
+    number."""
+    share = differing(similarity)
     return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
 
 
@@ -496,13 +502,13 @@ def similar_groups(candidates: DataFrame, docs: DataFrame, k: int, similarity: f
 def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """doc_id and component_id (its group's smallest) of documents that aren't the first of their group of near copies.
 
-    Wide fingerprints are SimHashes of the sets of shingles, as long as the number of documents takes (see ring_of); documents
-    with one set meet before anything is compared. Fingerprints, also equal ones, only say which documents are candidates;
+    Wide fingerprints are SimHashes of the sets of shingles, as long as the similarity takes (see ring_of); documents with one
+    set meet before anything is compared. Fingerprints, also equal ones, only say which documents are candidates;
     those link whose exact similarity is enough (see similar_groups). Texts without a word are alike. Rows without an id take
     no part; rows that repeat an id are one document; an empty table gives no rows.
     """
     docs = docs.filter("doc_id is not null")
-    per, parts = ring_of(docs.count())
+    per, parts = ring_of(similarity)
     columns = [f"f{p}" for p in range(parts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
