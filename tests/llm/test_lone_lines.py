@@ -49,3 +49,14 @@ def test_odd_rows(docs, rows):
     got = {r.doc_id: r.kept_text for r in linededup.without_copies(docs, lone_words=1).collect()}
     assert got == {i: "\n".join(v) for i, v in plain(rows).items()}
     assert any(got[i] != t for i, (_, _, t) in plain_lines(rows, 2).items())
+
+
+def test_op4_merges_its_narrow_rows(spark, tmp_path):
+    """The result, rows without texts, is one small file, not one for each task that read texts."""
+    rows = [(i, "\n".join(f"line {(i * 7 + k) % 400} of {PASSAGE}" for k in range(40))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    found = op4_line_dedup(spark, str(tmp_path))
+    found.write.parquet(str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*.parquet"))) == 1
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {i: (40, 40 - len(v), hashlib.sha256("\n".join(v).encode()).hexdigest()) for i, v in plain(rows).items()}

@@ -44,7 +44,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.without_copies(table(spark, sf_dir, "documents"), lone_words=linededup.LONE_WORDS)
-    return found.select("doc_id", (F.col("kept_lines") + F.col("gone_lines")).alias("n_lines"), F.col("gone_lines").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+    digests = found.select("doc_id", (F.col("kept_lines") + F.col("gone_lines")).alias("n_lines"), F.col("gone_lines").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+    return digests.hint("rebalance")  # rows without texts: a few files rather than one for each task that read texts
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
